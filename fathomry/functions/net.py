@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,48 +24,66 @@ def ipv4_number(c: Column | str) -> Column:
     return F.when(is_ipv4(c), n)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: expressions that name it often would be copied into each place."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _hex4(n: Column) -> Column:
+    return F.lower(F.hex(n))
+
+
+def _undotted(s: Column) -> Column:
+    """A dotted tail as the two groups it stands for."""
+    def use(tail: Column) -> Column:
+        n = ipv4_number(tail)
+        head = s.substr(F.lit(1), F.length(s) - F.length(tail))
+        return F.when(tail == "", s).otherwise(F.concat(head, _hex4(F.shiftright(n, 16)), F.lit(":"), _hex4(n.bitwiseAND(0xFFFF))))
+
+    return _let(F.regexp_extract(s, rf":({_V4})$", 1), use)
+
+
+def _packed(text: Column) -> Column:
+    """``:g:g:...:`` with the first of the longest runs of at least two zero groups written as ``::``."""
+    def cut(run: str) -> Column:
+        at = F.instr(text, run)
+        whole = F.concat(text.substr(F.lit(1), at - 1), F.lit("::"), text.substr(at + len(run), F.length(text)))
+        return F.when(at > 0, F.regexp_replace(whole, "^:(?!:)|(?<!:):$", ""))
+
+    return F.coalesce(*[cut(":0" * k + ":") for k in range(8, 1, -1)], F.btrim(text, F.lit(":")))
+
+
+def _mapped(full: Column) -> Column:
+    """The IPv4 address that ``0:0:0:0:0:ffff:x:y`` stands for."""
+    def use(n: Column) -> Column:
+        return F.concat_ws(".", *[F.shiftright(n, 24 - 8 * i).bitwiseAND(255).cast("string") for i in range(4)])
+
+    return _let(F.conv(F.concat(full[6], F.lpad(full[7], 4, "0")), 16, 10).cast("bigint"), use)
+
+
 def _v6(s: Column) -> Column:
     """Canonical text of a lower-case IPv6 address without blanks; null if it is none."""
-    # A dotted tail counts as two groups.
-    tail = F.regexp_extract(s, rf"^.*:({_V4})$", 1)
-    n = ipv4_number(F.when(tail != "", tail))
-    hexed = F.concat(
-        F.expr("''"),
-        F.substring_index(s, ":", -1),
-    )
-    plain = F.when(tail == "", s).otherwise(
-        F.concat(
-            s.substr(F.lit(1), F.length(s) - F.length(hexed)),
-            F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(0xFFFF))),
-        )
-    )
-    halves = F.split(plain, "::")
-    groups = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
-    left, right = groups(halves[0]), groups(F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit("")))
-    missing = F.lit(8) - F.size(left) - F.size(right)
-    short = F.size(halves) == 2
-    full = F.when(short, F.concat(left, F.array_repeat(F.lit("0"), missing), right)).otherwise(left)
-    full = F.transform(full, lambda g: F.when(g.rlike("^0+$"), F.lit("0")).otherwise(F.ltrim(g, F.lit("0"))))
-    shape = (
-        plain.rlike("^[0-9a-f:]+$")
-        & ~plain.rlike("[0-9a-f]{5}|:::|^:[^:]|[^:]:$")
-        & (F.size(halves) <= 2)
-        & F.when(short, missing >= 1).otherwise(F.size(left) == 8)
-    )
-    text = F.concat(F.lit(":"), F.array_join(full, ":"), F.lit(":"))
-    # The first of the longest runs of at least two zero groups becomes "::".
-    packed = F.lit(None).cast("string")
-    for k in range(2, 9):
-        run = ":0" * k + ":"
-        at = F.instr(text, run)
-        cut = F.concat(text.substr(F.lit(1), at - 1), F.lit("::"), text.substr(at + len(run), F.length(text)))
-        packed = F.when(at > 0, F.regexp_replace(F.regexp_replace(cut, "^:(?!:)", ""), "(?<!:):$", "")).otherwise(packed)
-    packed = F.coalesce(packed, F.array_join(full, ":"))
-    # ::ffff:a.b.c.d is the IPv4 address itself.
-    hi, lo = F.conv(full[6], 16, 10).cast("bigint"), F.conv(full[7], 16, 10).cast("bigint")
-    dotted = F.concat_ws(".", *[x.cast("string") for x in (F.shiftright(hi, 8), hi.bitwiseAND(255), F.shiftright(lo, 8), lo.bitwiseAND(255))])
-    mapped = F.array_join(F.slice(full, 1, 6), ":") == "0:0:0:0:0:ffff"
-    return F.when(shape, F.when(mapped, dotted).otherwise(packed))
+    def groups(x: Column) -> Column:
+        return F.filter(F.split(x, ":"), lambda g: g != "")
+
+    def finish(full: Column) -> Column:
+        v4 = F.array_join(F.slice(full, 1, 6), ":") == "0:0:0:0:0:ffff"
+        text = F.concat(F.lit(":"), F.array_join(full, ":"), F.lit(":"))
+        return F.when(F.size(full) == 8, F.when(v4, _mapped(full)).otherwise(_let(text, _packed)))
+
+    def fill(halves: Column) -> Column:
+        left = groups(halves[0])
+        right = groups(F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit("")))
+        missing = F.lit(8) - F.size(left) - F.size(right)
+        some = F.when(missing > 0, F.concat(left, F.array_repeat(F.lit("0"), missing), right))
+        return F.when(F.size(halves) == 2, some).when(F.size(halves) == 1, left)
+
+    def use(plain: Column) -> Column:
+        shaped = F.when(plain.rlike("^[0-9a-f:]+$") & ~plain.rlike("[0-9a-f]{5}|:::|^:[^:]|[^:]:$"), F.split(plain, "::"))
+        short = F.transform(_let(shaped, fill), lambda g: F.coalesce(F.nullif(F.ltrim(g, F.lit("0")), F.lit("")), F.lit("0")))
+        return _let(short, finish)
+
+    return _let(_undotted(s), use)
 
 
 def canonical_ip(c: Column | str) -> Column:
