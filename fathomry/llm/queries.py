@@ -10,6 +10,7 @@ from ..functions.lineage import cut
 from ..functions.net import canonical_ip
 from ..sources import table
 from .distinct import Registers, estimates, merge_sketches, overlaps, sketches
+from .garbled import restore
 from .mixing import mixture, shares
 from .neardup import near_duplicates
 from .setjoin import similar_pairs
@@ -105,8 +106,19 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return shares(*_mixture(spark, folder))
 
 
+def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Garbled documents with the chain of encodings and the original text where it can be had."""
+    return restore(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that were decoded with a wrong character encoding."""
+    return p9_restored(spark, folder).select("doc_id")
+
+
 QUERIES = {
     "p3_found": p3_found, "p3_counts": p3_counts, "p3_overlap": p3_overlap, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p9_found": p9_found, "p9_restored": p9_restored,
 }
 
 #: One spelling of an address, for SQL: IPv6 groups are written out, freed of leading zeros and compressed.
