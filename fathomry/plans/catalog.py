@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import pipeline
+from . import checkin, identity, pipeline
 
-FLAGSHIP = pipeline.p1_found
-QUERIES = {**pipeline.QUERIES}
-ORACLES = {**pipeline.ORACLES}
+FLAGSHIP = checkin.fanout_asof
+QUERIES = {**pipeline.QUERIES, **checkin.QUERIES, **identity.QUERIES}
+ORACLES = {**pipeline.ORACLES, **checkin.ORACLES, **identity.ORACLES}
