@@ -1,7 +1,7 @@
 """Per-key work without imbalance: fragment-and-replicate by estimated load.
 
-1. Estimate: one pass over the key column gives a bounded summary, the loads of hash buckets (``BUCKETS`` rows) and a
-   frequent-items sketch that keeps every key with more than a small share of all rows. Only this reaches the driver.
+1. Estimate: a pass over the key column counts hash buckets, and another one the keys of the few buckets that hold more
+   than a key may. Only these bounded counts reach the driver.
 2. Pack: keys heavier than a share of one task are split into shards in proportion to their load; shards and buckets of
    light keys are packed onto tasks, heaviest first, always onto the least loaded task.
 3. Place: each row goes to its key's (and, for a heavy key, its shard's) task by a direct partition id; the matching side
@@ -64,24 +64,20 @@ def bucket_of(key: Column) -> Column:
 
 
 def estimate(df: DataFrame, key: str, tasks: int) -> tuple[dict[str, float], dict[int, float]]:
-    """Loads of the frequent keys and of the hash buckets of all others; bounded by ``4 * tasks`` and ``BUCKETS``."""
-    keys = df.select(F.col(key).cast("string").alias("k")).where("k is not null")
-    wanted = max(16, 4 * tasks)
-    summary = (
-        keys.groupBy(bucket_of(F.col("k")).alias("b"))
-        .agg(F.count("*").alias("n"), F.expr(f"approx_top_k(k, {max(1, min(16, wanted))}, 64)").alias("top"))
-        .collect()
-    )
-    total = sum(r.n for r in summary)
-    least = total / tasks * SPLIT_ABOVE if total else 0
-    heavy, light = {}, {}
-    for r in summary:
-        rest = r.n
-        for x in r.top:
-            if x["count"] > least and x["count"] <= rest:
-                heavy[x["item"]] = float(x["count"])
-                rest -= x["count"]
-        light[r.b] = float(rest)
+    """Loads of the frequent keys and of the hash buckets of all others, exactly.
+
+    Only buckets that hold more than a key may are looked into; at most ``tasks / SPLIT_ABOVE`` keys can be frequent, so
+    the driver gets that many rows and ``BUCKETS`` more.
+    """
+    keys = df.select(F.col(key).cast("string").alias("k")).where("k is not null").withColumn("b", bucket_of(F.col("k")))
+    light = {r.b: float(r.n) for r in keys.groupBy("b").agg(F.count("*").alias("n")).collect()}
+    least = sum(light.values()) / tasks * SPLIT_ABOVE
+    full = [b for b, n in light.items() if n > least]
+    heavy = {}
+    if full:
+        for r in keys.where(F.col("b").isin(full)).groupBy("b", "k").agg(F.count("*").alias("n")).where(F.col("n") > least).collect():
+            heavy[r.k] = float(r.n)
+            light[r.b] -= r.n
     return heavy, light
 
 
@@ -92,9 +88,10 @@ def placement(df: DataFrame, key: str, tasks: int | None = None) -> Placement:
 
 
 def _lookups(spark: SparkSession, plan: Placement) -> tuple[DataFrame, Column]:
-    """Frequent keys with their tasks (at most ``4 * tasks`` rows) and the bucket array as a literal."""
+    """Frequent keys with their tasks (at most ``tasks / SPLIT_ABOVE`` rows) and the bucket array as a literal."""
     rows = [(k, v) for k, v in sorted(plan.heavy.items())]
-    return spark.createDataFrame(rows, "__key string, __tasks array<int>"), F.lit(plan.light)
+    buckets = F.split(F.lit(",".join(map(str, plan.light))), ",").cast("array<int>")  # folds to one literal
+    return spark.createDataFrame(rows, "__key string, __tasks array<int>"), buckets
 
 
 def fragment(df: DataFrame, key: str, spread: Column, plan: Placement) -> DataFrame:
