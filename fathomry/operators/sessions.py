@@ -29,16 +29,17 @@ def dilate(starts: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray
     ``starts`` ascend; runs are inclusive and don't overlap. Runs that touch become one.
     """
     have = 1
-    while have < width:
-        shift = min(have, width - have)
-        ends = ends + shift  # a run is at least `have` long, so it and its shifted copy are one run
+    while True:
         head = np.ones(len(starts), dtype=bool)
         head[1:] = starts[1:] > ends[:-1] + 1
         tail = np.ones(len(starts), dtype=bool)
         tail[:-1] = head[1:]
         starts, ends = starts[head], ends[tail]
+        if have == width:
+            return starts, ends
+        shift = min(have, width - have)
+        ends = ends + shift  # a run is at least `have` long, so it and its shifted copy are one run
         have += shift
-    return starts, ends
 
 
 def _fragments(gap: int, slice_ms: int):
@@ -76,7 +77,7 @@ def _fragments(gap: int, slice_ms: int):
             lo = np.searchsorted(at, starts, side="left")
             counts = np.diff(np.append(lo, len(at)))
             first_ms = ms[lo]
-            last_ms = first_ms + (ends - (gap - 1) - starts) if gap > 1 else first_ms + (ends - starts)
+            last_ms = first_ms + (ends - (gap - 1) - starts)
             yield pa.RecordBatch.from_arrays(
                 [entity.take(pa.array(keep[lo])), pa.array(first_ms), pa.array(last_ms), pa.array(counts)],
                 names=["entity", "start_ms", "end_ms", "events"],
