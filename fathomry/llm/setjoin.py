@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from .buckets import bucket_pairs, distinct_pairs, overlap_at_least, popcount, within
+from .buckets import LIMIT, bucket_pairs, distinct_pairs, overlap_at_least, popcount, within
 
 CODE_BITS = 128
 
@@ -73,7 +73,7 @@ def as_set(items) -> F.Column:
     return F.when(F.size(hashed) > 0, hashed)
 
 
-def similar_pairs(records: DataFrame, key: str, items: str, num: int = 4, den: int = 5, miss: float = 1e-5, seed: int = 7) -> DataFrame:
+def similar_pairs(records: DataFrame, key: str, items: str, num: int = 4, den: int = 5, miss: float = 1e-5, seed: int = 7, limit: int = LIMIT) -> DataFrame:
     """Pairs ``(left_key, right_key)``, left before right as text, of records whose sets overlap by ``num / den`` or more.
 
     ``items`` is an array of strings; the overlap is common elements divided by distinct elements of both. Records with
@@ -91,7 +91,7 @@ def similar_pairs(records: DataFrame, key: str, items: str, num: int = 4, den: i
     n = sets.count()
     width, segments, radius = calibrate(n, num / den, miss)
     rows = sets.mapInArrow(_codes(width, segments, seed), "key bigint, id bigint, c1 bigint, c2 bigint")
-    found = cut(bucket_pairs(rows, within(radius)))
+    found = cut(bucket_pairs(rows, within(radius), limit))
     big = found.where(F.col("b").isNull())
     p = big.select("key", F.col("a"), F.col("c1").alias("p1"), F.col("c2").alias("p2"))
     q = big.select("key", F.col("a").alias("b"), F.col("c1").alias("q1"), F.col("c2").alias("q2"))
