@@ -107,7 +107,33 @@ def retention(spark: SparkSession, folder: str) -> DataFrame:
     return kept.agg(F.count("*").alias("kept")).join(rows.agg(F.count("*").alias("rows"))).select("kept", (F.col("rows") - F.col("kept")).alias("purged"))
 
 
+def profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Each account's last check-in with all counts as they stood then: devices, accounts, churn, regularity, bursts."""
+    rows = addressed(spark, folder).where("account is not null")
+    last = rows.groupBy("account").agg(F.max_by(F.struct("visitor", "ip", "ts"), F.struct("ts", "event_id")).alias("l")).select("account", "l.*")
+    every = addressed(spark, folder)
+    minute = lambda c: (F.col(c) - F.pmod(F.col(c), F.lit(60_000))).alias("bucket")
+    asked = last.select("account", "visitor", "ip", "ts", minute("ts"))
+
+    def burst(key: str, name: str) -> DataFrame:
+        in_minute = every.select(key, F.col("ts").alias("at"), minute("ts")).join(asked.where(F.col(key).isNotNull()).select(key, "bucket", "ts").distinct(), [key, "bucket"])
+        return in_minute.where("at <= ts").groupBy(key, "ts").agg(F.count("*").alias(name))
+
+    device = trailing.trailing_distinct(every, "visitor", "account", "ts", {"fanout_h24": DAY, "fanout_d7": 7 * DAY})
+    own = trailing.trailing_distinct(every, "account", "visitor", "ts", {"devices_d7": 7 * DAY, "devices_d30": 30 * DAY})
+    behind = trailing.trailing_distinct(every, "ip", "account", "ts", {"ip_h1": HOUR, "ip_h24": DAY})
+    known = every.where("visitor is not null")
+    churned = trailing.churn(known, "account", "visitor", ["ts", "event_id"]).select("account", F.round("rate", 6).alias("rate"))
+    even = trailing.regularity(every, "account", "ts", ["ts", "event_id"]).select("account", F.round("regularity", 6).alias("regularity"))
+    out = asked.join(device, ["visitor", "ts"], "left").join(own, ["account", "ts"], "left").join(behind, ["ip", "ts"], "left")
+    out = out.join(burst("visitor", "burst_visitor"), ["visitor", "ts"], "left").join(burst("ip", "burst_ip"), ["ip", "ts"], "left")
+    out = out.join(churned, "account", "left").join(even, "account", "left").fillna(0)
+    names = ["fanout_h24", "fanout_d7", "devices_d7", "devices_d30", "ip_h1", "ip_h24", "rate", "regularity", "burst_visitor", "burst_ip"]
+    return out.select("account", "visitor", "ip", "ts", *names)
+
+
 QUERIES = {
+    "checkin_profile": profile,
     "checkin_fanout_per_event": fanout_per_event, "checkin_devices_per_event": devices_per_event, "checkin_ip_accounts_per_event": ip_accounts_per_event,
     "rolling_members": rolling_members, "checkin_fanout_asof": fanout_asof, "checkin_device_count_asof": device_count_asof,
     "checkin_new_device_rate": new_device_rate, "checkin_regularity": regularity, "checkin_minute_burst": minute_burst,
@@ -138,7 +164,25 @@ _OWN = " OR ".join(f"(n >> {32 - p}) = ({sum(int(x) << 24 - 8 * i for i, x in en
 _HOSTED = " OR ".join(
     f"(n >> {32 - p}) = ({sum(int(x) << 24 - 8 * i for i, x in enumerate(a.split('.')))} >> {32 - p})" for a, p in [*signals.HOSTING_BLOCKS, ("203.0.113.0", 24)]
 )
+def _counted(key: str, member: str, window: int) -> str:
+    """Distinct members of the last row's key in the window before it; 0 without key."""
+    return f"(SELECT count(DISTINCT e.{member}) FROM ea e WHERE e.{key} = l.{key} AND e.ts BETWEEN l.ts - {window} AND l.ts)"
+
+
 ORACLES = {
+    "checkin_profile": f"""WITH {_ADDR}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY ts DESC, event_id DESC) AS k FROM ea WHERE account IS NOT NULL) WHERE k = 1),
+        r AS (SELECT account, ts, visitor, row_number() OVER (PARTITION BY account ORDER BY ts DESC, event_id DESC) AS k,
+          row_number() OVER (PARTITION BY account, visitor IS NULL ORDER BY ts DESC, event_id DESC) AS kv FROM ea WHERE account IS NOT NULL),
+        c AS (SELECT account, round(count(DISTINCT visitor) / count(*), 6) AS rate FROM r WHERE visitor IS NOT NULL AND kv <= 20 GROUP BY account),
+        g AS (SELECT account, ts - lag(ts) OVER (PARTITION BY account ORDER BY ts, k DESC) AS g FROM r WHERE k <= 10),
+        e AS (SELECT account, round(CASE WHEN count(g) < 2 THEN 0 WHEN avg(g) = 0 THEN 1 ELSE 1 / (1 + stddev_pop(g) / avg(g)) END, 6) AS regularity FROM g GROUP BY account)
+        SELECT l.account, l.visitor, l.ip, l.ts,
+          CASE WHEN l.visitor IS NULL THEN 0 ELSE {_counted('visitor', 'account', DAY)} END AS fanout_h24, CASE WHEN l.visitor IS NULL THEN 0 ELSE {_counted('visitor', 'account', 7 * DAY)} END AS fanout_d7,
+          CASE WHEN l.visitor IS NULL THEN 0 ELSE {_counted('account', 'visitor', 7 * DAY)} END AS devices_d7, CASE WHEN l.visitor IS NULL THEN 0 ELSE {_counted('account', 'visitor', 30 * DAY)} END AS devices_d30,
+          {_counted('ip', 'account', HOUR)} AS ip_h1, {_counted('ip', 'account', DAY)} AS ip_h24, coalesce(rate, 0) AS rate, regularity,
+          (SELECT count(*) FROM ea e WHERE e.visitor = l.visitor AND e.ts BETWEEN l.ts - l.ts % 60000 AND l.ts) AS burst_visitor,
+          (SELECT count(*) FROM ea e WHERE e.ip = l.ip AND e.ts BETWEEN l.ts - l.ts % 60000 AND l.ts) AS burst_ip
+        FROM l LEFT JOIN c USING (account) LEFT JOIN e USING (account)""",
     "checkin_fanout_per_event": _per_event("ev", _LOG, "visitor", "account", {"h24": DAY, "d7": 7 * DAY}),
     "checkin_devices_per_event": _per_event("ev", _LOG, "account", "visitor", {"d7": 7 * DAY, "d30": 30 * DAY}),
     "checkin_ip_accounts_per_event": _per_event("ea", _ADDR, "ip", "account", {"h1": HOUR, "h24": DAY}),
