@@ -150,7 +150,7 @@ def near_duplicates(records: DataFrame, kind: str, key: str, text: str, num: int
     words = records.select(F.col(kind).cast("string").alias("kind"), F.col(key).cast("string").alias("key"), word_set(F.col(text)).alias("items"))
     words = words.where("kind is not null and key is not null and items is not null")
     members = cut(words.withColumn("id", F.xxhash64("kind", "items")))
-    sets = members.groupBy("id").agg(F.first(F.xxhash64("kind")).alias("kind"), F.first("items").alias("items"))
+    sets = cut(members.groupBy("id").agg(F.first(F.xxhash64("kind")).alias("kind"), F.first("items").alias("items")))
     layout = Layout(sets.count(), num / den, miss)
     rows = sets.select("kind", "id", "items").mapInArrow(_segments(layout, seed), "key bigint, id bigint, c1 bigint, c2 bigint")
     found = cut(bucket_pairs(rows, _near(layout.part), limit, stars=True))

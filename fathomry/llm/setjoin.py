@@ -87,7 +87,7 @@ def similar_pairs(records: DataFrame, key: str, items: str, num: int = 4, den: i
     hashed = records.select(F.col(key).cast("string").alias("key"), as_set(F.col(items)).alias("items"))
     hashed = hashed.where("key is not null and items is not null").withColumn("id", F.xxhash64("items"))
     members = cut(hashed)
-    sets = members.groupBy("id").agg(F.first("items").alias("items"))
+    sets = cut(members.groupBy("id").agg(F.first("items").alias("items")))
     n = sets.count()
     width, segments, radius = calibrate(n, num / den, miss)
     rows = sets.mapInArrow(_codes(width, segments, seed), "key bigint, id bigint, c1 bigint, c2 bigint")
