@@ -30,6 +30,8 @@ NONE = np.int32(2**31 - 1)
 STRETCH = 8192
 #: Characters of text that are encoded at once.
 CHUNK_CHARS = 24_000_000
+#: Distinct words of one task whose ids are kept from chunk to chunk.
+MOST_WORDS = 1_500_000
 
 
 @dataclass
@@ -207,7 +209,7 @@ def _runs(v: Vocabulary, counts_only: bool):
             if chars >= CHUNK_CHARS:
                 yield from flush()
                 held, chars = [], 0
-                if encoder.ends[-1] > 4 * CHUNK_CHARS:  # bounded memory, whatever the partition's size
+                if len(encoder.numbers) > MOST_WORDS:  # bounded memory, whatever the partition's size
                     encoder = Encoder(v)
         if held:
             yield from flush()
