@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.canonical import prior_of
 from ..functions.hashing import salted_hash
@@ -126,18 +127,18 @@ def decide(ids: DataFrame, scored: DataFrame) -> DataFrame:
     """One row for each probe of ``ids``: best candidate, decision, confidence and collision flag.
 
     Equal scores resolve to the least visitor id. Probes without candidate are new devices; the caller gives them an id
-    (:func:`fathomry.functions.canonical.visitor_id`). The two best are kept by aggregation, which combines before the
-    shuffle: a probe with very many candidates doesn't gather them.
+    (:func:`fathomry.functions.canonical.visitor_id`). Only the two best candidates of each probe and task are shuffled, as
+    ranks above two are cut before.
     """
-    rank = F.struct((-F.col("score")).alias("s"), F.col("visitor_id"), F.col("compared"))
-    best = scored.groupBy("id").agg(F.min(rank).alias("best"))
-    others = scored.join(best, "id").where(F.col("visitor_id") != F.col("best.visitor_id")).groupBy("id").agg(F.max("score").alias("second"))
-    rows = ids.select("id").distinct().join(best, "id", "left").join(others, "id", "left")
-    rows = rows.withColumn("score", -F.col("best.s")).withColumn("compared", F.coalesce(F.col("best.compared"), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "visitor_id"))
+    top = scored.withColumn("place", place).where(F.col("place") <= 2)
+    first = lambda c: F.max(F.when(F.col("place") == 1, F.col(c))).alias(c)
+    two = top.groupBy("id").agg(first("visitor_id"), first("score"), first("compared"), F.max(F.when(F.col("place") == 2, F.col("score"))).alias("second"))
+    rows = ids.select("id").distinct().join(two, "id", "left").withColumn("compared", F.coalesce("compared", F.lit(0)))
     decision = F.when(F.col("score") >= MATCH, "match").when(F.col("score") >= REVIEW, "review").otherwise("new_device")
     rows = rows.withColumn("decision", decision)
     close = (F.col("decision") == "match") & (F.col("second") >= MATCH) & (F.col("score") - F.col("second") < COLLISION_GAP)
-    known = F.when(F.col("decision") != "new_device", F.col("best.visitor_id"))
+    known = F.when(F.col("decision") != "new_device", F.col("visitor_id"))
     return rows.select(
         "id", known.alias("visitor_id"), "decision", (F.col("decision") == "new_device").alias("is_new_device"), "score", "second", "compared",
         F.coalesce(close, F.lit(False)).alias("collision_risk"),

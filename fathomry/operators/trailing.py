@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.lineage import cut
+
 SLICE_MS = 6 * 3_600_000
 
 
@@ -22,22 +24,25 @@ def _sliced(df: DataFrame, slice_ms: int) -> DataFrame:
 
 def with_next(df: DataFrame, keys: list[str], slice_ms: int = SLICE_MS) -> DataFrame:
     """Distinct ``(keys, ts)`` with ``next``, the time after it within the keys (null for the last)."""
-    rows = _sliced(df.select(*keys, "ts").distinct(), slice_ms)
+    rows = cut(_sliced(df.select(*keys, "ts").distinct(), slice_ms))  # read for the slices and for their heads
     inside = F.lead("ts").over(Window.partitionBy(*keys, "__slice").orderBy("ts"))
     heads = rows.groupBy(*keys, "__slice").agg(F.min("ts").alias("__head"))
     ahead = heads.withColumn("__ahead", F.lead("__head").over(Window.partitionBy(*keys).orderBy("__slice"))).drop("__head")
     return rows.withColumn("__inside", inside).join(ahead, [*keys, "__slice"]).select(*keys, "ts", F.coalesce("__inside", "__ahead").alias("next"))
 
 
-def running(changes: DataFrame, key: str, sums: Sequence[str], slice_ms: int = SLICE_MS) -> DataFrame:
-    """``(key, ts, sums...)``: for each time of a key, the sums of all its changes up to and with that time."""
-    at = _sliced(changes.groupBy(key, "ts").agg(*[F.sum(c).alias(c) for c in sums]), slice_ms)
+def running(changes: DataFrame, key: str, sums: Sequence[str], slice_ms: int = SLICE_MS, marks: Sequence[str] = ()) -> DataFrame:
+    """``(key, ts, sums..., marks...)``: for each time of a key, the sums of all its changes up to and with that time.
+
+    ``marks`` are summed for the time alone.
+    """
+    at = cut(_sliced(changes.groupBy(key, "ts").agg(*[F.sum(c).alias(c) for c in (*sums, *marks)]), slice_ms))  # read for sums and totals
     totals = at.groupBy(key, "__slice").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
     before = Window.partitionBy(key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(key, "__slice", *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in sums])
     inside = Window.partitionBy(key, "__slice").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    summed = at.select(key, "__slice", "ts", *[F.sum(c).over(inside).alias(c) for c in sums])
-    return summed.join(offsets, [key, "__slice"]).select(key, "ts", *[(F.col(c) + F.col(f"__o_{c}")).alias(c) for c in sums])
+    summed = at.select(key, "__slice", "ts", *marks, *[F.sum(c).over(inside).alias(c) for c in sums])
+    return summed.join(offsets, [key, "__slice"]).select(key, "ts", *marks, *[(F.col(c) + F.col(f"__o_{c}")).alias(c) for c in sums])
 
 
 def trailing_distinct(events: DataFrame, key: str, member: str, ts: str, windows: dict[str, int], closed: bool = True) -> DataFrame:
@@ -50,15 +55,14 @@ def trailing_distinct(events: DataFrame, key: str, member: str, ts: str, windows
     rows = events.select(F.col(key).alias("key"), F.col(member).alias("member"), F.col(ts).alias("ts"))
     seen = with_next(rows.where("key is not null and member is not null and ts is not null"), ["key", "member"])
     names = list(windows)
-    enter = F.struct("ts", *[F.lit(1).alias(n) for n in names])
+    enter = F.struct("ts", F.lit(1).alias("here"), *[F.lit(1).alias(n) for n in names])
     leave = []
     for n, w in windows.items():
         end = F.col("ts") + F.lit(w + 1 if closed else w)
-        leave.append(F.struct(F.least(end, F.coalesce("next", end)).alias("ts"), *[F.lit(-1 if m == n else 0).alias(m) for m in names]))
-    changes = seen.select("key", "ts", F.inline(F.array(enter, *leave)).alias("at", *[f"d_{n}" for n in names]))
-    sums = running(changes.select("key", F.col("at").alias("ts"), *[F.col(f"d_{n}").alias(n) for n in names]), "key", names)
-    times = seen.select("key", "ts").distinct()
-    return sums.join(times, ["key", "ts"]).withColumnsRenamed({"key": key, "ts": ts})
+        leave.append(F.struct(F.least(end, F.coalesce("next", end)).alias("ts"), F.lit(0).alias("here"), *[F.lit(-1 if m == n else 0).alias(m) for m in names]))
+    changes = seen.select("key", F.inline(F.array(enter, *leave)))
+    sums = running(changes, "key", names, marks=["here"])
+    return sums.where("here > 0").drop("here").withColumnsRenamed({"key": key, "ts": ts})
 
 
 def trailing_count(events: DataFrame, key: str, ts: str, window: int, name: str = "n") -> DataFrame:
@@ -68,8 +72,10 @@ def trailing_count(events: DataFrame, key: str, ts: str, window: int, name: str
     """
     rows = events.select(F.col(key).alias("key"), F.col(ts).alias("ts")).where("key is not null and ts is not null")
     at = rows.groupBy("key", "ts").agg(F.count("*").alias("n"))
-    changes = at.select("key", F.inline(F.array(F.struct("ts", "n"), F.struct((F.col("ts") + window + 1).alias("ts"), (-F.col("n")).alias("n")))))
-    return running(changes, "key", ["n"]).join(at.select("key", "ts"), ["key", "ts"]).withColumnsRenamed({"key": key, "ts": ts, "n": name})
+    leave = F.struct((F.col("ts") + window + 1).alias("ts"), (-F.col("n")).alias("n"), F.lit(0).alias("here"))
+    changes = at.select("key", F.inline(F.array(F.struct("ts", "n", F.lit(1).alias("here")), leave)))
+    sums = running(changes, "key", ["n"], marks=["here"]).where("here > 0").drop("here")
+    return sums.withColumnsRenamed({"key": key, "ts": ts, "n": name})
 
 
 def latest(events: DataFrame, key: str, order: list[str], n: int) -> DataFrame:

@@ -70,7 +70,7 @@ def _entries(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Da
     keys = cut(blocking.blocking_keys(comps, SEED)).join(obs.select("id", "device_id", "library", "ts"), "id")
     index = blocking.index(keys.where("library").select("key", F.col("id").alias("visitor_id"), "ts"), ["ts", "visitor_id"])
     probes = keys.where("not library").select("id", "key")
-    kinds = comps.join(obs.select("id", "library"), "id")
+    kinds = cut(comps.join(obs.select("id", "library"), "id"))
     return probes, index, kinds
 
 
@@ -87,7 +87,7 @@ def value_frequency(spark: SparkSession, folder: str) -> DataFrame:
 
 def _weights(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     probes, index, kinds = _entries(spark, folder)
-    pairs = blocking.candidates(probes, index)
+    pairs = cut(blocking.candidates(probes, index))
     library = kinds.where("library").drop("library")
     asked = kinds.where("not library").drop("library")
     probe = scoring.probes(asked, SALT, scoring.frequency(library, SALT))
