@@ -142,7 +142,8 @@ def skewed_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     """``left JOIN right USING (key)``, the left side fragmented by load and the right one replicated to its shards.
 
     ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti`` (kinds in which only left rows may go unmatched, since a
-    right row exists in several copies). Rows of a heavy key are spread by the hash of all other left columns' values.
+    right row exists in several copies). Rows of a heavy key are spread by the hash of all other left columns' values, which is the same in
+    every attempt of a task; rows that are equal in all columns stay together.
 
     Defined cases: a null key matches nothing; repeated rows on either side give the product, as in any join; empty sides
     are as in any join; the other columns of both sides must differ by name.
@@ -155,7 +156,7 @@ def skewed_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     if how in ("left_semi", "left_anti"):
         right = right.select(key).distinct()
     plan = placement(left, key, tasks)
-    rest = [F.col(c).cast("string") for c in left.columns if c != key] or [F.monotonically_increasing_id()]
+    rest = [F.col(c).cast("string") for c in left.columns if c != key] or [F.lit("")]
     some = F.concat_ws("\x1f", *[F.coalesce(x, F.lit("\x00")) for x in rest])
     a = fragment(left, key, some, plan).repartitionById(plan.tasks, F.col("__task"))
     b = replicate(right.where(F.col(key).isNotNull()), key, plan).repartitionById(plan.tasks, F.col("__task"))
