@@ -14,7 +14,7 @@ from .distinct import Registers, estimates, merge_sketches, overlaps, sketches
 from .garbled import restore
 from .mixing import mixture, shares
 from .neardup import near_duplicates
-from .setjoin import similar_pairs
+from .setjoin import link_counts, similar_pairs
 from .tokenize import encode
 
 REGISTERS = Registers(m=4096, base=1.08)
@@ -67,12 +67,22 @@ def fonts_of(components: str) -> F.Column:
     return F.transform(texts, lambda x: F.variant_get(x, "$", "string"))
 
 
-def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of observations and templates whose font sets overlap by 0.8 or more."""
+def _fonts(spark: SparkSession, folder: str) -> DataFrame:
+    """``(key, fonts)`` of observations and templates, fonts trimmed and lower-cased."""
     seen = table(spark, folder, "synthetic_observations").select(F.concat(F.lit("obs:"), F.col("obs_id").cast("string")).alias("key"), "fonts")
     known = templates(spark, folder).select(F.concat(F.lit("tpl:"), F.col("visitor_id")).alias("key"), fonts_of("components").alias("fonts"))
     clean = F.filter(F.transform("fonts", identifier), lambda x: x.isNotNull())
-    return similar_pairs(seen.unionByName(known).withColumn("fonts", clean), "key", "fonts", 4, 5)
+    return seen.unionByName(known).withColumn("fonts", clean)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of observations and templates whose font sets overlap by 0.8 or more."""
+    return similar_pairs(_fonts(spark, folder), "key", "fonts", 4, 5)
+
+
+def p4_links(spark: SparkSession, folder: str) -> DataFrame:
+    """For each observation and template with fonts, the first one with the same fonts and the number of similar others."""
+    return link_counts(_fonts(spark, folder), "key", "fonts", 4, 5)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -118,7 +128,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p3_found": p3_found, "p3_counts": p3_counts, "p3_overlap": p3_overlap, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p3_found": p3_found, "p3_counts": p3_counts, "p3_overlap": p3_overlap, "p4_found": p4_found, "p4_links": p4_links, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_restored": p9_restored,
 }
 
@@ -147,6 +157,14 @@ item AS (SELECT DISTINCT key, lower(trim(x)) AS x FROM raw WHERE trim(x) <> ''),
 n AS (SELECT key, count(*) AS n FROM item GROUP BY key),
 both_ AS (SELECT a.key AS k, b.key AS l, count(*) AS c FROM item a JOIN item b ON a.x = b.x AND a.key < b.key GROUP BY a.key, b.key)
 SELECT k AS left_key, l AS right_key FROM both_ JOIN n p ON p.key = k JOIN n q ON q.key = l WHERE c * 5 >= (p.n + q.n - c) * 4"""
+_LINKS4 = (
+    _PAIRS4[: _PAIRS4.rindex("SELECT k AS")].rstrip()
+    + """,
+pairs AS (SELECT k, l FROM both_ JOIN n p ON p.key = k JOIN n q ON q.key = l WHERE c * 5 >= (p.n + q.n - c) * 4),
+ends AS (SELECT k AS key FROM pairs UNION ALL SELECT l FROM pairs), deg AS (SELECT key, count(*) AS links FROM ends GROUP BY key),
+cls AS (SELECT key, string_agg(x, chr(31) ORDER BY x) AS s FROM item GROUP BY key)
+SELECT key, min(key) OVER (PARTITION BY s) AS class_key, coalesce(links, 0) AS links FROM cls LEFT JOIN deg USING (key)"""
+)
 _GROUPS6 = f"""
 WITH RECURSIVE {_TEMPLATES},
 txt AS (
@@ -161,4 +179,4 @@ link AS (SELECT c.kind, i, j FROM c JOIN n p ON p.kind = c.kind AND p.id = i JOI
 reach AS (SELECT kind, i, j FROM link UNION SELECT r.kind, r.i, l.j FROM reach r JOIN link l ON l.kind = r.kind AND l.i = r.j)
 SELECT kind, min(j) AS leader_id, i AS member_id FROM reach GROUP BY kind, i HAVING min(j) < i"""
 
-ORACLES = {"p3_found": _FOUND3, "p4_found": _PAIRS4, "p6_found": _GROUPS6}
+ORACLES = {"p3_found": _FOUND3, "p4_found": _PAIRS4, "p4_links": _LINKS4, "p6_found": _GROUPS6}

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
+from ..operators.fragment import skewed_join
 from .buckets import LIMIT, bucket_pairs, distinct_pairs, overlap_at_least, popcount, within
 
 CODE_BITS = 128
@@ -73,23 +74,13 @@ def as_set(items) -> F.Column:
     return F.when(F.size(hashed) > 0, hashed)
 
 
-def similar_pairs(records: DataFrame, key: str, items: str, num: int = 4, den: int = 5, miss: float = 1e-5, seed: int = 7, limit: int = LIMIT) -> DataFrame:
-    """Pairs ``(left_key, right_key)``, left before right as text, of records whose sets overlap by ``num / den`` or more.
-
-    ``items`` is an array of strings; the overlap is common elements divided by distinct elements of both. Records with
-    equal sets are joined through their set, so codes, candidates and checks are made once for each distinct set.
-
-    Defined cases: null elements don't count, repeated elements count once; records with a null key, or a null or empty
-    set, take no part; repeated rows of a record are one record; equal sets under different keys are a pair; an empty
-    input gives no rows; other columns are ignored. A bucket above the limit of the streaming comparison is joined with
-    itself instead, where skewed partitions are split. Elements and sets are compared by 64-bit hashes.
-    """
+def _close(records: DataFrame, key: str, items: str, num: int, den: int, miss: float, seed: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """``(id, key)`` of all records, ``id`` standing for their set, and the pairs ``(a, b)`` of different sets that are close."""
     hashed = records.select(F.col(key).cast("string").alias("key"), as_set(F.col(items)).alias("items"))
     hashed = hashed.where("key is not null and items is not null").withColumn("id", F.xxhash64("items"))
     members = cut(hashed)
     sets = cut(members.groupBy("id").agg(F.first("items").alias("items")))
-    n = sets.count()
-    width, segments, radius = calibrate(n, num / den, miss)
+    width, segments, radius = calibrate(sets.count(), num / den, miss)
     rows = sets.mapInArrow(_codes(width, segments, seed), "key bigint, id bigint, c1 bigint, c2 bigint")
     found = cut(bucket_pairs(rows, within(radius), limit))
     big = found.where(F.col("b").isNull())
@@ -97,9 +88,43 @@ def similar_pairs(records: DataFrame, key: str, items: str, num: int = 4, den: i
     q = big.select("key", F.col("a").alias("b"), F.col("c1").alias("q1"), F.col("c2").alias("q2"))
     rest = p.join(q, "key").where((F.col("a") < F.col("b")) & (popcount("p1", "q1") + popcount("p2", "q2") <= radius))
     pairs = distinct_pairs(found.select("a", "b").unionByName(rest.select("a", "b")))
-    close = overlap_at_least(pairs, sets, num, den)
-    names = members.select("id", "key").distinct()
+    return members.select("id", "key").distinct(), overlap_at_least(pairs, sets, num, den)
+
+
+def similar_pairs(
+    records: DataFrame, key: str, items: str, num: int = 4, den: int = 5, miss: float = 1e-5, seed: int = 7, limit: int = LIMIT
+) -> DataFrame:
+    """Pairs ``(left_key, right_key)``, left before right as text, of records whose sets overlap by ``num / den`` or more.
+
+    ``items`` is an array of strings; the overlap is common elements divided by distinct elements of both. Records with
+    equal sets are joined through their set, so codes, candidates and checks are made once for each distinct set.
+
+    Defined cases: null elements don't count, repeated elements count once; records with a null key, or a null or empty
+    set, take no part; repeated rows of a record are one record; a key with several sets is paired through each of them;
+    equal sets under different keys are a pair; an empty input gives no rows; other columns are ignored. A bucket above
+    the limit of the streaming comparison is joined with itself instead, where skewed partitions are split. Elements and
+    sets are compared by 64-bit hashes.
+    """
+    names, close = _close(records, key, items, num, den, miss, seed, limit)
     a, b = names.select(F.col("id").alias("a"), F.col("key").alias("k")), names.select(F.col("id").alias("b"), F.col("key").alias("l"))
     across = close.join(a, "a").join(b, "b").select("k", "l")
     inside = names.withColumnRenamed("key", "k").join(names.withColumnRenamed("key", "l"), "id").where("k < l").select("k", "l")
     return across.unionByName(inside).select(F.least("k", "l").alias("left_key"), F.greatest("k", "l").alias("right_key"))
+
+
+def link_counts(
+    records: DataFrame, key: str, items: str, num: int = 4, den: int = 5, miss: float = 1e-5, seed: int = 7, limit: int = LIMIT
+) -> DataFrame:
+    """``(key, class_key, links)``: for each record the least key with its set, and how many other records are similar.
+
+    The form for large groups of copies: they are counted, not expanded into pairs. Defined cases as for
+    :func:`similar_pairs`, but for a key with several sets, which has a row for each.
+    """
+    names, close = _close(records, key, items, num, den, miss, seed, limit)
+    classes = cut(names.groupBy("id").agg(F.min("key").alias("class_key"), F.count("*").alias("n")))
+    both = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    partners = both.join(classes.select(F.col("id").alias("b"), "n"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
+    counted = classes.join(partners, "id", "left").select("id", "class_key", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("links"))
+    return skewed_join(names.withColumn("root", F.col("id").cast("string")), counted.withColumnRenamed("id", "set").withColumn("root", F.col("set").cast("string")), "root").select(
+        "key", "class_key", "links"
+    )

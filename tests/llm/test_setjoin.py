@@ -4,7 +4,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from fathomry.llm.setjoin import calibrate, similar_pairs
+from fathomry.llm.setjoin import calibrate, link_counts, similar_pairs
 
 
 def records(n=260, seed=7):
@@ -46,3 +46,16 @@ def test_calibration_bounds_misses():
     for n in (10, 10**5, 10**9):
         width, segments, radius = calibrate(n, 0.8, 1e-5)
         assert (1 - 0.9**width) ** segments <= 1e-5 and 20 < radius < 40
+
+
+def test_link_counts(spark):
+    rows = records(120) + [(f"copy{i}", ["x", "y"]) for i in range(50)] + [("alone", ["q"]), ("none", None)]
+    df = spark.createDataFrame(rows + rows[:30], "name string, items array<string>").withColumn("links", F.lit(1))
+    got = {r.key: (r.class_key, r.links) for r in link_counts(df, "name", "items").collect()}
+    pairs = brute(rows, 4, 5)
+    sets = {k: frozenset(s) for k, s in rows if s}
+    first = {}
+    for k in sorted(sets):
+        first.setdefault(sets[k], k)
+    assert got == {k: (first[s], sum(k in p for p in pairs)) for k, s in sets.items()}
+    assert link_counts(df.where("false"), "name", "items").count() == 0
