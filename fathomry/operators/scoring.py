@@ -78,8 +78,8 @@ def packed(components: DataFrame) -> DataFrame:
 
 def probes(components: DataFrame, salt: bytes, counts: DataFrame, learned: DataFrame | None = None) -> DataFrame:
     """``(id, parts)``: a probe's components in order of names, each with its ``u`` and ``m``."""
-    total = counts.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("all_hits"))
-    rows = components.withColumn("value", value_hash(salt)).join(counts, "value", "left").join(F.broadcast(total))
+    total = counts.select(F.coalesce(F.sum("hits"), F.lit(0))).scalar()
+    rows = components.withColumn("value", value_hash(salt)).join(counts, "value", "left").withColumn("all_hits", total)
     u = F.when(F.col("kind") == "set", SET_RARITY).otherwise(_clamp((F.coalesce("hits", F.lit(0)) + 0.5) / (F.col("all_hits") + 1.0)))
     m = prior_of("name")
     if learned is not None:

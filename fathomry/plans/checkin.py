@@ -47,8 +47,7 @@ def rolling_members(spark: SparkSession, folder: str) -> DataFrame:
 
 def _asof(spark: SparkSession, folder: str, key: str, member: str, windows: dict[str, int]) -> DataFrame:
     rows = log(spark, folder)
-    now = rows.agg(F.max("ts").alias("now"))
-    at = rows.where(F.col(key).isNotNull()).join(F.broadcast(now))
+    at = rows.where(F.col(key).isNotNull()).withColumn("now", rows.select(F.max("ts")).scalar())
     counts = [F.count_distinct(F.when(F.col("ts") >= F.col("now") - w, F.col(member))).alias(n) for n, w in windows.items()]
     return at.groupBy(key).agg(*counts)
 
@@ -104,7 +103,7 @@ def retention(spark: SparkSession, folder: str) -> DataFrame:
     rows = log(spark, folder)
     now = rows.agg(F.max("ts")).first()[0] or 0
     kept = trailing.purge(rows, "ts", now - 30 * DAY)
-    return kept.agg(F.count("*").alias("kept")).join(rows.agg(F.count("*").alias("rows"))).select("kept", (F.col("rows") - F.col("kept")).alias("purged"))
+    return kept.agg(F.count("*").alias("kept")).select("kept", (rows.select(F.count("*")).scalar() - F.col("kept")).alias("purged"))
 
 
 def profile(spark: SparkSession, folder: str) -> DataFrame:

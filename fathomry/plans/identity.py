@@ -154,7 +154,7 @@ def template_retention(spark: SparkSession, folder: str) -> DataFrame:
     last = r.agg(F.max("last_seen")).first()[0] or 0
     entries = table(spark, folder, "blocking_index").select(F.lower(F.trim("key")).alias("key"), F.lower(F.trim("visitor_id")).alias("visitor_id"))
     kept, index = maintenance.retire(r, entries.where("key is not null and visitor_id is not null").distinct(), last - 30 * 86_400_000)
-    return kept.agg(F.count("*").alias("templates")).join(index.agg(F.count("*").alias("entries")))
+    return kept.agg(F.count("*").alias("templates")).withColumn("entries", index.select(F.count("*")).scalar())
 
 
 def capped_index(spark: SparkSession, folder: str) -> DataFrame:

@@ -54,8 +54,8 @@ def p5_shares(spark: SparkSession, folder: str) -> DataFrame:
     raw = table(spark, folder, "blocking_index")
     pairs = raw.select(identifier("key").alias("key"), identifier("visitor_id").alias("visitor"))
     counts = distinct_per_key(pairs, "key", "visitor")
-    total = counts.agg(F.sum("members").alias("total"))
-    return counts.join(F.broadcast(total)).select("key", F.col("members").alias("visitors"), (F.col("members") / F.col("total")).alias("share"))
+    total = counts.select(F.sum("members")).scalar()
+    return counts.select("key", F.col("members").alias("visitors"), (F.col("members") / total).alias("share"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
