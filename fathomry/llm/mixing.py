@@ -32,7 +32,7 @@ def plan(sizes: DataFrame, targets: DataFrame, total: DataFrame) -> DataFrame:
     mix = Window.partitionBy("mix_id")
     every = F.sum("weight").over(mix)
     shared = wanted.withColumn("wanted", F.when(every > 0, F.col("weight") / every).otherwise(0.0))
-    shared = shared.withColumn("budget_share", F.max("budget_share").over(mix)).join(F.broadcast(total))
+    shared = shared.withColumn("budget_share", F.max("budget_share").over(mix)).withColumn("total", total.scalar())
     sized = shared.join(sizes, "source", "left").withColumn("available", F.coalesce("size", F.lit(0)).cast("bigint")).drop("size")
     goal = F.least(F.col("target"), (F.col("available") * F.col("max_repeats")).cast("double"))
     epochs = F.when(F.col("available") > 0, F.floor(goal / F.col("available"))).otherwise(0).cast("int")
