@@ -3,7 +3,8 @@
 Rows ``(key, id, c1, c2)`` are placed and sorted by key; each run of one key is compared within itself, a vector at a
 time, while it streams by. Up to ``limit`` rows of a bucket are compared all with all, which is work in proportion to the
 rows. A larger bucket isn't cut: its rows come out as they are (``b`` null) for the caller's exact way, and with ``stars``
-each of them is compared with the bucket's first row.
+each of them is compared with the bucket's first row. Where only connections count, buckets full of near pairs go that way,
+too, so that groups of any size give pairs in proportion to their rows.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LIMIT = 4096
+#: Rows of a bucket that are compared all with all; near pairs for each row from which on stars take their place.
+LIMIT, DENSE = 4096, 16
 SCHEMA = "key bigint, a bigint, b bigint, c1 bigint, c2 bigint"
 #: Whether two rows may be similar: (c1, c2 of one, c1, c2 of the other) as arrays of uint64.
 Near = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -28,12 +30,17 @@ def within(radius: int) -> Near:
     return near
 
 
-def _pairs(rows: np.ndarray, begin: np.ndarray, size: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of near pairs within runs."""
+def _pairs(rows: np.ndarray, begin: np.ndarray, size: np.ndarray, near: Near, dense: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers of near pairs within runs, and which runs have more than ``dense`` of them for each row.
+
+    Such runs are given up as soon as that shows; their pairs are left out.
+    """
     at = np.arange(rows.shape[1])
+    run = np.repeat(np.arange(len(size)), size)
     end = np.repeat(begin + size, size)
     c1, c2 = rows[2].view(np.uint64), rows[3].view(np.uint64)
-    left, right, step = [], [], 1
+    left, right, step = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], 1
+    full, found = np.zeros(len(size), dtype=bool), np.zeros(len(size), dtype=np.int64)
     live = at[at + 1 < end]
     while len(live):
         other = live + step
@@ -42,11 +49,16 @@ def _pairs(rows: np.ndarray, begin: np.ndarray, size: np.ndarray, near: Near) ->
         right.append(other[hit])
         step += 1
         live = live[live + step < end[live]]
-    none = np.zeros(0, dtype=np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+        if dense is not None:
+            found += np.bincount(run[left[-1]], minlength=len(size))
+            full |= found > dense * size
+            live = live[~full[run[live]]]
+    i, j = np.concatenate(left), np.concatenate(right)
+    kept = ~full[run[i]]
+    return i[kept], j[kept], full
 
 
-def _stream(near: Near, limit: int, stars: bool):
+def _stream(near: Near, limit: int, stars: bool, dense: int | None):
     def pairs_out(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
         none = pa.nulls(len(i), pa.int64())
         return pa.RecordBatch.from_arrays([none, pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), none, none], names=["key", "a", "b", "c1", "c2"])
@@ -99,7 +111,11 @@ def _stream(near: Near, limit: int, stars: bool):
         if several.any():
             keep = np.repeat(several, size)
             rows, size = np.ascontiguousarray(rows[:, keep]), size[several]
-            i, j = _pairs(rows, np.cumsum(size) - size, size, near)
+            begin = np.cumsum(size) - size
+            i, j, full = _pairs(rows, begin, size, near, dense)
+            for k in np.flatnonzero(full):
+                part = rows[:, begin[k] : begin[k] + size[k]]
+                yield from large(part, part[:, 0].copy())
             differ = rows[1][i] != rows[1][j]
             i, j = rows[1][i[differ]], rows[1][j[differ]]
             if len(i):
@@ -108,11 +124,13 @@ def _stream(near: Near, limit: int, stars: bool):
     return run
 
 
-def bucket_pairs(rows: DataFrame, near: Near, limit: int = LIMIT, stars: bool = False, parts: int | None = None) -> DataFrame:
-    """Near pairs ``a < b`` (``key`` null; a pair comes once for each bucket it shares) and rows of larger buckets."""
-    keyed = rows.select("key", "id", "c1", "c2")
-    placed = keyed.repartition(parts, "key") if parts else keyed.repartition("key")
-    return placed.sortWithinPartitions("key", "id").mapInArrow(_stream(near, limit, stars), SCHEMA)
+def bucket_pairs(rows: DataFrame, near: Near, limit: int = LIMIT, stars: bool = False, dense: int | None = None) -> DataFrame:
+    """Near pairs ``a < b`` (``key`` null; a pair comes once for each bucket it shares) and rows of larger buckets.
+
+    With ``dense`` a bucket that has more than so many near pairs for each of its rows counts as a large one, too.
+    """
+    placed = rows.select("key", "id", "c1", "c2").repartition("key").sortWithinPartitions("key", "id")
+    return placed.mapInArrow(_stream(near, limit, stars, dense), SCHEMA)
 
 
 def distinct_pairs(found: DataFrame) -> DataFrame:

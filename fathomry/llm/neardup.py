@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 from ..operators.fragment import skewed_join
-from .buckets import LIMIT, bucket_pairs, distinct_pairs, overlap_at_least, popcount
+from .buckets import DENSE, LIMIT, bucket_pairs, distinct_pairs, overlap_at_least, popcount
 from .components import components
 from .setjoin import as_set
 
@@ -136,7 +136,7 @@ def _near(part: float):
     return near
 
 
-def near_duplicates(records: DataFrame, kind: str, key: str, text: str, num: int = 7, den: int = 10, miss: float = 1e-4, seed: int = 11, limit: int = LIMIT) -> DataFrame:
+def near_duplicates(records: DataFrame, kind: str, key: str, text: str, num: int = 7, den: int = 10, miss: float = 1e-4, seed: int = 11, limit: int = LIMIT, dense: int = DENSE) -> DataFrame:
     """``(kind, leader_id, member_id)``: a row for each member of a group but the least key (as text), which leads it.
 
     Texts of one kind whose word sets overlap by ``num / den`` or more are neighbours, and groups are closed under this.
@@ -144,7 +144,7 @@ def near_duplicates(records: DataFrame, kind: str, key: str, text: str, num: int
     Defined cases: records with a null kind, key or text, or with a text without words, take no part; texts with equal
     word sets are neighbours; repeated rows of a record are one member; a record with several texts belongs to the groups
     of all of them; texts of any length are compared whole; an empty input gives no rows; other columns are ignored.
-    Buckets above the limit of the streaming comparison aren't cut: each row is first linked to the bucket's first row,
+    Buckets above the limit of the streaming comparison, or with more than ``dense`` near pairs for each row, aren't cut: each row is first linked to the bucket's first row,
     and then rows of a bucket's smaller components are compared with all its rows of other components.
     """
     words = records.select(F.col(kind).cast("string").alias("kind"), F.col(key).cast("string").alias("key"), word_set(F.col(text)).alias("items"))
@@ -153,7 +153,7 @@ def near_duplicates(records: DataFrame, kind: str, key: str, text: str, num: int
     sets = cut(members.groupBy("id").agg(F.first(F.xxhash64("kind")).alias("kind"), F.first("items").alias("items")))
     layout = Layout(sets.count(), num / den, miss)
     rows = sets.select("kind", "id", "items").mapInArrow(_segments(layout, seed), "key bigint, id bigint, c1 bigint, c2 bigint")
-    found = cut(bucket_pairs(rows, _near(layout.part), limit, stars=True))
+    found = cut(bucket_pairs(rows, _near(layout.part), limit, stars=True, dense=dense))
     links = cut(overlap_at_least(distinct_pairs(found), sets, num, den))
     big = found.where(F.col("b").isNull()).select("key", "a", "c1", "c2")
     if not big.isEmpty():

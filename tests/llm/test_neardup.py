@@ -45,11 +45,11 @@ def brute(rows, num, den):
     return {(m[0], min(y[1] for y in g), m[1]) for g in groups.values() for m in g if m[1] != min(y[1] for y in g)}
 
 
-@pytest.mark.parametrize("limit", [4096, 3])
-def test_against_brute_force(spark, limit):
+@pytest.mark.parametrize(("limit", "dense"), [(4096, 16), (3, 16), (4096, 0), (4096, 1)])
+def test_against_brute_force(spark, limit, dense):
     rows = texts() + [("a", "e1", ""), ("a", "e2", " ,;"), ("a", "e3", None), ("a", None, "x y"), (None, "n", "x y"), ("a", "c1", "x y z"), ("a", "c2", "Z; Y x x"), ("b", "c3", "x y z")]
     df = spark.createDataFrame(rows + rows[:40], "what string, name string, body string").withColumn("kind", F.lit(1)).withColumn("root", F.lit(1))
-    got = near_duplicates(df, "what", "name", "body", 7, 10, limit=limit).collect()
+    got = near_duplicates(df, "what", "name", "body", 7, 10, limit=limit, dense=dense).collect()
     assert {tuple(r) for r in got} == brute(rows, 7, 10) and len(got) == len(set(got))
 
 
@@ -66,3 +66,17 @@ def test_components(spark):
     got = {r.node: r.root for r in components(df).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100}
     assert components(df.where("false")).count() == 0
+
+
+def test_large_cluster(spark):
+    """A cluster of many different variants gives pairs in proportion to its rows, and its whole group."""
+    rng = random.Random(10)
+    words = [f"w{i}" for i in range(30)]
+    rows = []
+    for i in range(1500):
+        s = list(words)
+        s[rng.randrange(30)] = f"x{i}"
+        rows.append(("k", f"{i:04d}", " ".join(s)))
+    rows += [("k", f"other{i}", " ".join(f"o{rng.randrange(5000)}" for _ in range(30))) for i in range(500)]
+    got = near_duplicates(spark.createDataFrame(rows, "kind string, name string, body string"), "kind", "name", "body")
+    assert got.where("leader_id = '0000'").count() == 1499 and got.count() == 1499
