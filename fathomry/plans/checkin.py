@@ -119,12 +119,14 @@ def profile(spark: SparkSession, folder: str) -> DataFrame:
         return in_minute.where("at <= ts").groupBy(key, "ts").agg(F.count("*").alias(name))
 
     device = trailing.trailing_distinct(every, "visitor", "account", "ts", {"fanout_h24": DAY, "fanout_d7": 7 * DAY})
-    own = trailing.trailing_distinct(every, "account", "visitor", "ts", {"devices_d7": 7 * DAY, "devices_d30": 30 * DAY})
+    at_last = every.select("account", F.col("ts").alias("at"), F.col("visitor").alias("seen")).join(asked.select("account", "ts"), "account")
+    within = lambda days: F.count_distinct(F.when(F.col("at") >= F.col("ts") - days * DAY, F.col("seen")))
+    own = at_last.groupBy("account").agg(within(7).alias("devices_d7"), within(30).alias("devices_d30"))
     behind = trailing.trailing_distinct(every, "ip", "account", "ts", {"ip_h1": HOUR, "ip_h24": DAY})
     known = every.where("visitor is not null")
     churned = trailing.churn(known, "account", "visitor", ["ts", "event_id"]).select("account", F.round("rate", 6).alias("rate"))
     even = trailing.regularity(every, "account", "ts", ["ts", "event_id"]).select("account", F.round("regularity", 6).alias("regularity"))
-    out = asked.join(device, ["visitor", "ts"], "left").join(own, ["account", "ts"], "left").join(behind, ["ip", "ts"], "left")
+    out = asked.join(device, ["visitor", "ts"], "left").join(own, "account", "left").join(behind, ["ip", "ts"], "left")
     out = out.join(burst("visitor", "burst_visitor"), ["visitor", "ts"], "left").join(burst("ip", "burst_ip"), ["ip", "ts"], "left")
     out = out.join(churned, "account", "left").join(even, "account", "left").fillna(0)
     names = ["fanout_h24", "fanout_d7", "devices_d7", "devices_d30", "ip_h1", "ip_h24", "rate", "regularity", "burst_visitor", "burst_ip"]
@@ -177,7 +179,7 @@ ORACLES = {
         e AS (SELECT account, round(CASE WHEN count(g) < 2 THEN 0 WHEN avg(g) = 0 THEN 1 ELSE 1 / (1 + stddev_pop(g) / avg(g)) END, 6) AS regularity FROM g GROUP BY account)
         SELECT l.account, l.visitor, l.ip, l.ts,
           CASE WHEN l.visitor IS NULL THEN 0 ELSE {_counted('visitor', 'account', DAY)} END AS fanout_h24, CASE WHEN l.visitor IS NULL THEN 0 ELSE {_counted('visitor', 'account', 7 * DAY)} END AS fanout_d7,
-          CASE WHEN l.visitor IS NULL THEN 0 ELSE {_counted('account', 'visitor', 7 * DAY)} END AS devices_d7, CASE WHEN l.visitor IS NULL THEN 0 ELSE {_counted('account', 'visitor', 30 * DAY)} END AS devices_d30,
+          {_counted('account', 'visitor', 7 * DAY)} AS devices_d7, {_counted('account', 'visitor', 30 * DAY)} AS devices_d30,
           {_counted('ip', 'account', HOUR)} AS ip_h1, {_counted('ip', 'account', DAY)} AS ip_h24, coalesce(rate, 0) AS rate, regularity,
           (SELECT count(*) FROM ea e WHERE e.visitor = l.visitor AND e.ts BETWEEN l.ts - l.ts % 60000 AND l.ts) AS burst_visitor,
           (SELECT count(*) FROM ea e WHERE e.ip = l.ip AND e.ts BETWEEN l.ts - l.ts % 60000 AND l.ts) AS burst_ip
