@@ -58,10 +58,11 @@ class Layout:
         return max(2, round(middle / self.words))
 
     def rounds(self, size: int, band: int) -> int:
-        """Enough for a partner up to 15 % larger (in the band above: than its lower end)."""
+        """Enough for the largest partner there can be at the threshold, so for all smaller ones."""
         k = self.segments(band)
-        partner = min(size / self.t, 1.15 * max(size, self.t**-band))
-        free = (1 - 1 / k) ** math.floor(self.part * (size + partner) + 1e-9)
+        partner = math.floor(size / self.t + 1e-9)
+        shared = math.ceil(self.t * 2 / (1 + self.t) * size - 1e-9)  # least number of common words: a segment without any gives no row
+        free = (1 - 1 / k) ** math.floor(self.part * (size + partner) + 1e-9) * (1 - (1 - 1 / k) ** shared)
         return math.ceil(math.log(self.miss) / math.log1p(-free) / k) if free < 1 else 1
 
 

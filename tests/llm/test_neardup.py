@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomry.llm.components import components
-from fathomry.llm.neardup import near_duplicates
+from fathomry.llm.neardup import Layout, near_duplicates
 
 
 def texts(n=150, seed=8):
@@ -80,3 +80,22 @@ def test_large_cluster(spark):
     rows += [("k", f"other{i}", " ".join(f"o{rng.randrange(5000)}" for _ in range(30))) for i in range(500)]
     got = near_duplicates(spark.createDataFrame(rows, "kind string, name string, body string"), "kind", "name", "body")
     assert got.where("leader_id = '0000'").count() == 1499 and got.count() == 1499
+
+
+@pytest.mark.parametrize("n", [10**3, 10**5, 10**6, 10**7])
+def test_miss_of_partners_of_any_size(n):
+    """No pair at the threshold, however unequal in size, shares no segment with a probability above the stated one."""
+    layout = Layout(n, 0.7, 1e-4)
+    for size in range(1, 300):
+        for partner in range(size, int(size / 0.7 + 1e-9) + 1):
+            differ = int((size + partner) * layout.part + 1e-9)
+            differ -= (size + partner - differ) % 2
+            if differ < partner - size:
+                continue
+            common, miss = (size + partner - differ) // 2, 1.0
+            bands = [{layout.band(s), layout.band(s) + 1} for s in (size, partner)]
+            for band in bands[0] & bands[1]:
+                k, rounds = layout.segments(band), min(layout.rounds(s, band) for s in (size, partner))
+                untouched = (1 - 1 / k) ** differ * (1 - (1 - 1 / k) ** common)
+                miss *= (1 - untouched) ** (k * rounds)
+            assert miss <= 1e-4, (size, partner)
