@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+@dataclass(frozen=True)
+class Policy:
+    """Bounds of what is kept; None is unbounded. Values, names and keys beyond theirs are dropped, known ones go on counting."""
+
+    records: int | None = 1_000_000
+    record_ttl_ms: int | None = None
+    frequency_values: int | None = 1_000_000
+    agreement_names: int | None = 1024
+    velocity_keys: int | None = 1_000_000
+    block: int = 1024
+
+
 def fold_templates(components: DataFrame, seen: DataFrame, order: str = "ts", tie: str = "seq") -> DataFrame:
     """``(visitor_id, name, kind, cat, num, elems, fresh)``: the latest value of each component a visitor ever showed.
 
@@ -80,6 +94,15 @@ def _cut_time(per: DataFrame, most: int, fan: int = 1024) -> tuple[int, int] | N
     return lo, most - newer
 
 
+def tracked(rows: DataFrame, by: str, order: list[str], most: int | None) -> DataFrame:
+    """Rows of the ``most`` values of ``by`` seen first (by ``order``, then value); None keeps all. Null values are none."""
+    known = rows.where(F.col(by).isNotNull())
+    if most is None:
+        return known
+    first = known.groupBy(by).agg(F.min(F.struct(*order)).alias("at")).orderBy("at", by).limit(most)
+    return known.join(first.select(by), by, "left_semi")
+
+
 def erase(rows: DataFrame, erased: DataFrame, by: str = "visitor_id") -> DataFrame:
     """Rows but those of erased ids; erasing an id that isn't there changes nothing."""
     return rows.join(erased.select(by).distinct(), by, "left_anti")

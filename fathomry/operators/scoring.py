@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.canonical import prior_of
 from ..functions.hashing import salted_hash
+from .maintenance import tracked
 
 #: Bits for a match and for a review; overlap that counts as agreement; gap of a collision.
 MATCH, REVIEW, AGREE, COLLISION_GAP = 12.0, 8.0, 0.5, 2.0
@@ -42,6 +43,16 @@ def agreement(confirmed: DataFrame) -> DataFrame:
     return confirmed.groupBy("name").agg(F.count_if(F.col("sim") >= AGREE).alias("agree"), F.count("*").alias("total"))
 
 
+def capped_agreement(confirmed: DataFrame, order: list[str], cap: int | None) -> DataFrame:
+    """:func:`agreement` of the ``cap`` names seen first; later names are not counted at all."""
+    return agreement(tracked(confirmed, "name", order, cap))
+
+
+def rate(hits: Column, total: Column) -> Column:
+    """How often a value was seen among all sightings; 0 where there are none. Scoring has its own smoothed rarity."""
+    return F.when(F.coalesce(total, F.lit(0)) == 0, 0.0).otherwise(F.coalesce(hits, F.lit(0)) / total)
+
+
 def _clamp(c: Column) -> Column:
     return F.least(F.greatest(c, F.lit(LEAST)), F.lit(MOST))
 

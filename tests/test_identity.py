@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomry.functions import canonical, hashing
-from fathomry.operators import blocking, replay, scoring, signals
+from fathomry.operators import blocking, maintenance, replay, scoring, signals
 
 SALT = hashing.salt_from_secret("fp-parity-vector-secret")
 A = {"webgl": "ANGLE (Intel)", "platform": "Linux x86_64", "timezone": "Asia/Shanghai", "audio": "124.04", "cpu_cores": 8, "device_memory": 8,
@@ -124,6 +124,19 @@ def test_capped_frequency(spark):
     assert got == {"a": 2, "b": 2}
 
 
+def test_caps_of_names_and_keys_and_raw_rate(spark):
+    rows = [(1, "a", 1.0), (2, "b", 0.0), (3, "a", 0.2), (4, "c", 1.0), (5, "b", 1.0), (6, None, 1.0)]
+    df = spark.createDataFrame(rows, "seq long, name string, sim double")
+    got = {r.name: (r.agree, r.total) for r in scoring.capped_agreement(df, ["seq"], 2).collect()}
+    assert got == {"a": (1, 2), "b": (1, 2)}
+    assert sorted(r.seq for r in maintenance.tracked(df, "name", ["seq"], 1).collect()) == [1, 3]
+    assert maintenance.tracked(df, "name", ["seq"], None).count() == 5
+    pairs = spark.createDataFrame([(1, 4), (None, 4), (0, 0), (None, None)], "hits long, total long")
+    assert [r[0] for r in pairs.select(scoring.rate(F.col("hits"), F.col("total"))).collect()] == [0.25, 0.0, 0.0, 0.0]
+    p = maintenance.Policy()
+    assert (p.records, p.record_ttl_ms, p.frequency_values, p.agreement_names, p.velocity_keys, p.block) == (10**6, None, 10**6, 1024, 10**6, 1024)
+
+
 def test_evaluation(spark):
     out = spark.createDataFrame([("1", "x"), ("2", "y"), ("3", "x"), ("4", "x"), ("5", "z")], "id string, visitor_id string")
     truth = spark.createDataFrame([(1, "d1", 1), (2, "d2", 2), (3, "d1", 3), (4, "d2", 4), (5, "d1", 5)], "id long, device string, ts long")
