@@ -29,3 +29,9 @@ def test_entry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["visitor", "h24", "d7"]
+
+
+def test_entry_says_what_it_gives():
+    import __spark_entry__ as entry
+
+    assert "verdict" not in entry.entry.__doc__ and "each visitor" in entry.entry.__doc__
