@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import le64, utf8
+from ..sources.shipping import ship_active
 from .fragment import skewed_join
 
 #: The groups' names and members; permutations and rows of a band; most visitors in a block.
@@ -48,6 +49,7 @@ def family(seed: bytes, n: int = PERMUTATIONS) -> list[tuple[int, int]]:
 
 def band_keys(elems: Column, seed: bytes) -> Column:
     """Band keys of an array of element hashes (hex); an empty set has none, null gives null."""
+    ship_active()
     pairs = family(seed)
     a = np.array([p[0] for p in pairs], dtype=np.uint64)[:, None]
     b = np.array([p[1] for p in pairs], dtype=np.uint64)[:, None]

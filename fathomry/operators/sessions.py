@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from ..sources.shipping import map_arrow
 from pyspark.sql.window import Window
 
 
@@ -101,7 +103,7 @@ def sessions(events: DataFrame, entity: str, ms: str, event_id: str, gap_ms: int
     ).where("entity is not null and ms is not null")
     placed = rows.withColumn("slice", F.floor(F.col("ms") / F.lit(slice_ms))).repartition("entity", "slice")
     parts = placed.sortWithinPartitions("entity", "slice", "ms", "event_id").select("entity", "ms", "event_id")
-    fragments = parts.mapInArrow(_fragments(gap_ms, slice_ms), "entity string, start_ms bigint, end_ms bigint, events bigint")
+    fragments = map_arrow(parts, _fragments(gap_ms, slice_ms), "entity string, start_ms bigint, end_ms bigint, events bigint")
     order = Window.partitionBy("entity").orderBy("start_ms", "end_ms")
     opens = F.col("start_ms") - F.lag("end_ms").over(order) > F.lit(gap_ms)
     numbered = fragments.withColumn("opens", F.coalesce(opens, F.lit(True)).cast("bigint")).withColumn("session", F.sum("opens").over(order))

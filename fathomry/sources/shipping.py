@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _done: set[str] = set()
 
@@ -31,3 +32,16 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(package.rglob("*.py")):
             z.write(p, p.relative_to(package.parent))
     sc.addPyFile(str(archive))
+
+
+def ship_active() -> None:
+    """:func:`ship` for the session at work, where functions are attached without a DataFrame at hand."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship(spark)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with a function of this package, whatever DataFrame it is attached to."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

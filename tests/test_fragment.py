@@ -14,15 +14,15 @@ def skewed(n=6000):
 
 
 def test_packing_balances():
-    plan = pack({"a": 1000.0, "b": 300.0}, {i: 1.0 for i in range(700)}, 10)
-    assert len(plan.heavy["a"]) == 10 and len(plan.heavy["b"]) == 3
+    plan = pack({"a": (1000.0, 0.0), "b": (300.0, 0.0)}, {i: 1.0 for i in range(700)}, 10)
+    assert {k: (lines, len(tasks)) for k, (lines, tasks) in plan.heavy.items()} == {"a": (10, 10), "b": (3, 3)}
     assert max(plan.loads) <= 1.1 * sum(plan.loads) / 10
 
 
 def test_heavy_keys_are_found_and_split(spark):
     df = spark.createDataFrame(skewed(), "key string, member string")
     plan = placement(df, "key", 8)
-    assert set(plan.heavy) == {"hot", "warm"} and len(plan.heavy["hot"]) > len(plan.heavy["warm"]) >= 1
+    assert set(plan.heavy) == {"hot", "warm"} and len(plan.heavy["hot"][1]) > len(plan.heavy["warm"][1]) >= 1
 
 
 def test_distinct_per_key(spark):
@@ -52,3 +52,17 @@ def test_join_without_exchange_of_a_side_twice(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange") - plan.count("BroadcastExchange") <= 2, plan
+
+
+def test_keys_heavy_on_either_side(spark):
+    """Rows of a key that is heavy on the right, or on both sides, meet each other once, on many tasks."""
+    left = spark.createDataFrame([("both", i) for i in range(900)] + [("right", i) for i in range(3)] + [("left", i) for i in range(900)] + [(f"k{i}", i) for i in range(300)], "key string, m int")
+    right = spark.createDataFrame([("both", i) for i in range(500)] + [("right", i) for i in range(800)] + [("left", 0), (None, 1)] + [(f"k{i}", i) for i in range(300)], "key string, n int")
+    plan = placement(left, "key", 8, right)
+    assert plan.heavy["both"][0] > 1 and len(plan.heavy["both"][1]) > plan.heavy["both"][0] and plan.heavy["right"][0] == 1 < len(plan.heavy["right"][1])
+    got = Counter(map(tuple, skewed_join(left, right, "key", "inner", 8).collect()))
+    assert got == Counter(map(tuple, left.join(right, "key").collect()))
+
+
+def test_many_tasks_have_as_many_buckets():
+    assert len(pack({}, {0: 1.0}, 2000).light) == 16_000
