@@ -16,6 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.fragment import skewed_join
+from ..sources.shipping import map_arrow
+
 #: Rows of a bucket that are compared all with all; near pairs for each row from which on stars take their place.
 LIMIT, DENSE = 4096, 16
 SCHEMA = "key bigint, a bigint, b bigint, c1 bigint, c2 bigint"
@@ -130,7 +133,7 @@ def bucket_pairs(rows: DataFrame, near: Near, limit: int = LIMIT, stars: bool =
     With ``dense`` a bucket that has more than so many near pairs for each of its rows counts as a large one, too.
     """
     placed = rows.select("key", "id", "c1", "c2").repartition("key").sortWithinPartitions("key", "id")
-    return placed.mapInArrow(_stream(near, limit, stars, dense), SCHEMA)
+    return map_arrow(placed, _stream(near, limit, stars, dense), SCHEMA)
 
 
 def distinct_pairs(found: DataFrame) -> DataFrame:
@@ -142,9 +145,12 @@ def popcount(p: str, q: str):
 
 
 def overlap_at_least(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs ``(a, b)`` whose sets ``(id, items array)`` have at least ``num / den`` of their elements in common."""
+    """Pairs ``(a, b)`` whose sets ``(id, items array)`` have at least ``num / den`` of their elements in common.
+
+    A set with many partners is spread over tasks by load. ``pairs`` should be stored, as it is counted, too.
+    """
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    checked = pairs.join(left, "a").join(right, "b").withColumn("both", both)
+    checked = skewed_join(skewed_join(pairs, left, "a", "left"), right, "b", "left").withColumn("both", both)
     return checked.where(F.col("both") * (den + num) >= (F.size("x") + F.size("y")) * num).select("a", "b")

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shipping import map_arrow
+
 
 @dataclass(frozen=True)
 class Registers:
@@ -209,7 +211,7 @@ def _schema(df: DataFrame, keys: list[str]) -> str:
 
 
 def _settle(partial: DataFrame, keys: list[str]) -> DataFrame:
-    return partial.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_finish(keys), _schema(partial, keys))
+    return map_arrow(partial.repartition(*keys).sortWithinPartitions(*keys), _finish(keys), _schema(partial, keys))
 
 
 def sketches(df: DataFrame, keys: list[str], counted: list[Column | str], r: Registers = Registers()) -> DataFrame:
@@ -225,13 +227,13 @@ def sketches(df: DataFrame, keys: list[str], counted: list[Column | str], r: Reg
         raise ValueError("at most 2**15 registers in a sketch")
     hashed = [F.when(c.isNotNull(), F.xxhash64(c)).alias(f"__h{i}") for i, c in enumerate(F.col(c) if isinstance(c, str) else c for c in counted)]
     rows = df.select(*keys, *hashed)
-    return _settle(rows.mapInArrow(_build(r, keys, len(counted)), _schema(rows, keys)), keys)
+    return _settle(map_arrow(rows, _build(r, keys, len(counted)), _schema(rows, keys)), keys)
 
 
 def merge_sketches(df: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys..., sketch)``: the sketches of coarser groups, from partial results by maximum."""
     rows = df.select(*keys, "sketch")
-    return _settle(rows.mapInArrow(_combine(keys), _schema(rows, keys)), keys)
+    return _settle(map_arrow(rows, _combine(keys), _schema(rows, keys)), keys)
 
 
 def estimates(df: DataFrame, names: list[str], r: Registers = Registers()) -> DataFrame:
@@ -249,7 +251,7 @@ def estimates(df: DataFrame, names: list[str], r: Registers = Registers()) -> Da
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *out], names=[*keys, *(x for n in names for x in (n, f"{n}_error"))])
 
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"{n} double, {n}_error double" for n in names)])
-    return df.select(*keys, "sketch").mapInArrow(run, schema)
+    return map_arrow(df.select(*keys, "sketch"), run, schema)
 
 
 def overlaps(pairs: DataFrame, left: str, right: str, counted: int = 0, r: Registers = Registers()) -> DataFrame:
@@ -271,4 +273,4 @@ def overlaps(pairs: DataFrame, left: str, right: str, counted: int = 0, r: Regis
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], *cols], names=[*keys, "union_size", "common", "jaccard", "jaccard_error"])
 
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "union_size double, common double, jaccard double, jaccard_error double"])
-    return pairs.select(*keys, left, right).mapInArrow(run, schema)
+    return map_arrow(pairs.select(*keys, left, right), run, schema)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 from ..operators.fragment import skewed_join
+from ..sources.shipping import map_arrow
 from .buckets import LIMIT, bucket_pairs, distinct_pairs, overlap_at_least, popcount, within
 
 CODE_BITS = 128
@@ -81,7 +82,7 @@ def _close(records: DataFrame, key: str, items: str, num: int, den: int, miss: f
     members = cut(hashed)
     sets = cut(members.groupBy("id").agg(F.first("items").alias("items")))
     width, segments, radius = calibrate(sets.count(), num / den, miss)
-    rows = sets.mapInArrow(_codes(width, segments, seed), "key bigint, id bigint, c1 bigint, c2 bigint")
+    rows = map_arrow(sets, _codes(width, segments, seed), "key bigint, id bigint, c1 bigint, c2 bigint")
     found = cut(bucket_pairs(rows, within(radius), limit))
     big = found.where(F.col("b").isNull())
     p = big.select("key", F.col("a"), F.col("c1").alias("p1"), F.col("c2").alias("p2"))

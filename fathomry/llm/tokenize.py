@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shipping import map_arrow
+
 #: Where the vocabulary files are, unless a call names another folder.
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pattern that cuts a text into words before byte-level merges.
@@ -229,4 +231,4 @@ def encode(df: DataFrame, text: str, keep: list[str], name: str = "byte_bpe_50k"
     kinds = dict(df.dtypes)
     rows = df.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"))
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"ids {'bigint' if counts_only else 'array<int>'}"])
-    return rows.mapInArrow(_runs(Vocabulary.load(name, folder), counts_only), schema)
+    return map_arrow(rows, _runs(Vocabulary.load(name, folder), counts_only), schema)
