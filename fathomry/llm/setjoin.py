@@ -7,6 +7,10 @@ whole segment are candidates. One in ``segments`` segments would have to be free
 segments is calibrated so that a pair right at the threshold shares none with a probability of at most ``miss``. A
 candidate must then lie within a Hamming radius on 128 bits of the code, calibrated by the same bound, and the original
 sets decide.
+
+A bucket above the limit of the streaming comparison is dealt again by further segments of the code. What is large even
+then (really similar sets, for the most part, all pairs of which belong to the result) is compared in blocks: each block
+of rows with each other one, as many tasks as there are pairs of blocks.
 """
 
 from __future__ import annotations
@@ -22,15 +26,16 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 from ..operators.fragment import skewed_join
 from ..sources.shipping import map_arrow
-from .buckets import LIMIT, bucket_pairs, distinct_pairs, overlap_at_least, popcount, within
+from .buckets import LIMIT, bucket_pairs, distinct_pairs, overlap_at_least, within
 
-CODE_BITS = 128
+#: Bits of the code that is compared; binary logarithm of the sets a bucket may hold by accident; width of the segments of a large bucket.
+CODE_BITS, TOGETHER, AGAIN = 128, 8, 8
 
 
 def calibrate(n: int, threshold: float, miss: float) -> tuple[int, int, int]:
     """Segment width, number of segments and Hamming radius on ``CODE_BITS`` bits, for ``n`` sets."""
     agree = (1 + threshold) / 2
-    width = min(30, max(8, round(math.log2(max(n, 2))) - 4))
+    width = min(30, max(8, round(math.log2(max(n, 2))) - TOGETHER))
     segments = max(math.ceil(math.log(miss) / math.log1p(-(agree**width))), math.ceil(CODE_BITS / width))
     tail, radius = 1.0, -1
     while tail > miss:
@@ -75,25 +80,45 @@ def as_set(items) -> F.Column:
     return F.when(F.size(hashed) > 0, hashed)
 
 
+def _again(big: DataFrame, width: int) -> DataFrame:
+    """Rows of large buckets by segments of their codes that don't overlap the bucket's own (``key`` holds its number above bit 32)."""
+    first = F.shiftrightunsigned("key", 32) * width
+    code = lambda s: F.when(s < 64 // AGAIN, F.shiftrightunsigned("c1", 0)).otherwise(F.col("c2"))
+    part = lambda s: F.call_function("shiftrightunsigned", code(s), (s % (64 // AGAIN) * AGAIN).cast("int")).bitwiseAND((1 << AGAIN) - 1)
+    free = F.filter(F.sequence(F.lit(0), F.lit(CODE_BITS // AGAIN - 1)), lambda s: (s * AGAIN >= first + width) | ((s + 1) * AGAIN <= first))
+    return big.withColumn("s", F.explode(free)).select(F.xxhash64("key", "s", part(F.col("s"))).alias("key"), F.col("a").alias("id"), "c1", "c2")
+
+
+def _blocks(big: DataFrame, limit: int) -> DataFrame:
+    """Rows of large buckets, once for each pair of blocks that theirs is in."""
+    blocks = big.groupBy("key").agg(F.ceil(F.count("*") / limit).cast("int").alias("blocks"))
+    rows = skewed_join(big, blocks, "key").withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("key", "a", "c1", "c2", "own", other)
+    return rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), F.col("a").alias("id"), "c1", "c2")
+
+
 def _close(records: DataFrame, key: str, items: str, num: int, den: int, miss: float, seed: int, limit: int) -> tuple[DataFrame, DataFrame]:
-    """``(id, key)`` of all records, ``id`` standing for their set, and the pairs ``(a, b)`` of different sets that are close."""
+    """``(id, key)`` of all records, ``id`` standing for their set, and the pairs ``(a, b)`` of different sets that are close; both stored."""
     hashed = records.select(F.col(key).cast("string").alias("key"), as_set(F.col(items)).alias("items"))
-    hashed = hashed.where("key is not null and items is not null").withColumn("id", F.xxhash64("items"))
-    members = cut(hashed)
+    members = cut(hashed.where("key is not null and items is not null").withColumn("id", F.xxhash64("items")))
     sets = cut(members.groupBy("id").agg(F.first("items").alias("items")))
     width, segments, radius = calibrate(sets.count(), num / den, miss)
     rows = map_arrow(sets, _codes(width, segments, seed), "key bigint, id bigint, c1 bigint, c2 bigint")
     found = cut(bucket_pairs(rows, within(radius), limit))
-    big = found.where(F.col("b").isNull())
-    p = big.select("key", F.col("a"), F.col("c1").alias("p1"), F.col("c2").alias("p2"))
-    q = big.select("key", F.col("a").alias("b"), F.col("c1").alias("q1"), F.col("c2").alias("q2"))
-    rest = p.join(q, "key").where((F.col("a") < F.col("b")) & (popcount("p1", "q1") + popcount("p2", "q2") <= radius))
-    pairs = distinct_pairs(found.select("a", "b").unionByName(rest.select("a", "b")))
-    return members.select("id", "key").distinct(), overlap_at_least(pairs, sets, num, den)
+    pairs = found.select("a", "b")
+    big = found.where(F.col("b").isNull()).drop("b")
+    if not big.isEmpty():
+        more = cut(bucket_pairs(_again(big, width), within(radius), limit))
+        pairs = pairs.unionByName(more.select("a", "b"))
+        big = more.where(F.col("b").isNull()).drop("b")
+        if not big.isEmpty():
+            pairs = pairs.unionByName(bucket_pairs(_blocks(big, limit), within(radius), max(limit * 64, 1 << 20)).select("a", "b"))
+    return cut(members.select("id", "key").distinct()), cut(overlap_at_least(cut(distinct_pairs(pairs)), sets, num, den))
 
 
 def similar_pairs(
-    records: DataFrame, key: str, items: str, num: int = 4, den: int = 5, miss: float = 1e-5, seed: int = 7, limit: int = LIMIT
+    records: DataFrame, key: str, items: str, num: int = 4, den: int = 5, miss: float = 1e-4, seed: int = 7, limit: int = LIMIT
 ) -> DataFrame:
     """Pairs ``(left_key, right_key)``, left before right as text, of records whose sets overlap by ``num / den`` or more.
 
@@ -102,19 +127,19 @@ def similar_pairs(
 
     Defined cases: null elements don't count, repeated elements count once; records with a null key, or a null or empty
     set, take no part; repeated rows of a record are one record; a key with several sets is paired through each of them;
-    equal sets under different keys are a pair; an empty input gives no rows; other columns are ignored. A bucket above
-    the limit of the streaming comparison is joined with itself instead, where skewed partitions are split. Elements and
-    sets are compared by 64-bit hashes.
+    equal sets under different keys are a pair; an empty input gives no rows; other columns are ignored. Sets that many
+    records have are spread over tasks by load. Elements and sets are compared by 64-bit hashes.
     """
     names, close = _close(records, key, items, num, den, miss, seed, limit)
-    a, b = names.select(F.col("id").alias("a"), F.col("key").alias("k")), names.select(F.col("id").alias("b"), F.col("key").alias("l"))
-    across = close.join(a, "a").join(b, "b").select("k", "l")
-    inside = names.withColumnRenamed("key", "k").join(names.withColumnRenamed("key", "l"), "id").where("k < l").select("k", "l")
+    one, other = names.select(F.col("id").alias("a"), F.col("key").alias("k")), names.select(F.col("id").alias("b"), F.col("key").alias("l"))
+    half = skewed_join(close, one, "a")
+    across = skewed_join(cut(half.select("k", "b")), other, "b").select("k", "l")
+    inside = skewed_join(names.withColumnRenamed("key", "k"), names.withColumnRenamed("key", "l"), "id").where("k < l").select("k", "l")
     return across.unionByName(inside).select(F.least("k", "l").alias("left_key"), F.greatest("k", "l").alias("right_key"))
 
 
 def link_counts(
-    records: DataFrame, key: str, items: str, num: int = 4, den: int = 5, miss: float = 1e-5, seed: int = 7, limit: int = LIMIT
+    records: DataFrame, key: str, items: str, num: int = 4, den: int = 5, miss: float = 1e-4, seed: int = 7, limit: int = LIMIT
 ) -> DataFrame:
     """``(key, class_key, links)``: for each record the least key with its set, and how many other records are similar.
 
@@ -124,8 +149,6 @@ def link_counts(
     names, close = _close(records, key, items, num, den, miss, seed, limit)
     classes = cut(names.groupBy("id").agg(F.min("key").alias("class_key"), F.count("*").alias("n")))
     both = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    partners = both.join(classes.select(F.col("id").alias("b"), "n"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
+    partners = skewed_join(both, classes.select(F.col("id").alias("b"), "n"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
     counted = classes.join(partners, "id", "left").select("id", "class_key", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("links"))
-    return skewed_join(names.withColumn("root", F.col("id").cast("string")), counted.withColumnRenamed("id", "set").withColumn("root", F.col("set").cast("string")), "root").select(
-        "key", "class_key", "links"
-    )
+    return skewed_join(names, counted, "id").select("key", "class_key", "links")

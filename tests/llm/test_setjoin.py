@@ -44,8 +44,8 @@ def test_empty(spark):
 
 def test_calibration_bounds_misses():
     for n in (10, 10**5, 10**9):
-        width, segments, radius = calibrate(n, 0.8, 1e-5)
-        assert (1 - 0.9**width) ** segments <= 1e-5 and 20 < radius < 40
+        width, segments, radius = calibrate(n, 0.8, 1e-4)
+        assert (1 - 0.9**width) ** segments <= 1e-4 and 20 < radius < 40
 
 
 def test_link_counts(spark):
@@ -59,3 +59,20 @@ def test_link_counts(spark):
         first.setdefault(sets[k], k)
     assert got == {k: (first[s], sum(k in p for p in pairs)) for k, s in sets.items()}
     assert link_counts(df.where("false"), "name", "items").count() == 0
+
+
+def test_large_buckets(spark):
+    """Unlike sets that share buckets are dealt again; a cluster of like ones is compared in blocks, and all its pairs come out."""
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(40)]
+    rows = [(f"v{i}", [x for x in base if x != f"b{i % 40}"] + [f"x{i}"]) for i in range(150)] + records(60)
+    df = spark.createDataFrame(rows, "name string, items array<string>")
+    got = {tuple(r) for r in similar_pairs(df, "name", "items", 4, 5, limit=8).collect()}
+    assert got == brute(rows, 4, 5) and len(got) > 150 * 149 // 2
+
+
+def test_set_of_a_third_of_all_records(spark):
+    rows = [(f"c{i:03d}", ["x", "y", "z"]) for i in range(60)] + [(f"d{i:03d}", ["x", "y", "z", "q"] * 2 + [f"u{i}"]) for i in range(3)] + [(f"o{i}", [f"w{i}", "y"]) for i in range(100)]
+    df = spark.createDataFrame(rows, "name string, items array<string>")
+    got = [tuple(r) for r in similar_pairs(df, "name", "items", 3, 5).collect()]
+    assert set(got) == brute(rows, 3, 5) and len(got) == len(set(got))
