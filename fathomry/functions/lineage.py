@@ -7,14 +7,25 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+_cleaned: set[str] = set()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where that is unset on one machine (tests).
+
+    Files are removed once nothing refers to their rows any more.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
+    if sc.applicationId not in _cleaned:
+        _cleaned.add(sc.applicationId)
+        sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return named
 
 

@@ -94,29 +94,36 @@ def blocking_keys(components: DataFrame, seed: bytes) -> DataFrame:
     return packed.select("id", F.explode(keys).alias("key"))
 
 
-def capped(entries: DataFrame, order: list[str], cap: int = BLOCK_CAP) -> DataFrame:
-    """Index entries ``(key, visitor_id)`` with ``kept``: false for visitors beyond the first ``cap`` of a block.
+def index(entries: DataFrame, order: list[str], cap: int = BLOCK_CAP) -> DataFrame:
+    """The entries that a capped index holds: of each key the first ``cap`` visitors by their first entry in ``order``, then by id.
 
-    Visitors count by their first entry in ``order`` (then by id); entries with null key or visitor are dropped.
+    Entries with a null key or visitor are dropped. Ranks are cut before the shuffle, so a hot key doesn't meet one task whole.
     """
     first = entries.where("key is not null and visitor_id is not null").groupBy("key", "visitor_id").agg(F.min(F.struct(*order)).alias("at"))
     place = F.row_number().over(Window.partitionBy("key").orderBy("at", "visitor_id"))
-    return first.select("key", "visitor_id", (place <= cap).alias("kept"))
-
-
-def index(entries: DataFrame, order: list[str], cap: int = BLOCK_CAP) -> DataFrame:
-    """The entries that a capped index holds; ranks are cut before the shuffle, so a hot key doesn't meet one task whole."""
-    first = entries.where("key is not null and visitor_id is not null").groupBy("key", "visitor_id").agg(F.min(F.struct(*order)).alias("at"))
-    place = F.row_number().over(Window.partitionBy("key").orderBy("at", "visitor_id"))
     return first.withColumn("place", place).where(F.col("place") <= cap).select("key", "visitor_id")
 
 
 def candidates(probe_keys: DataFrame, blocks: DataFrame) -> DataFrame:
     """Distinct ``(id, visitor_id)`` that share a key; frequent keys are fragmented and their blocks replicated."""
-    left = probe_keys.select("id", "key").where("key is not null").distinct()
+    left = probe_keys.select("id", "key").where("key is not null")
     return skewed_join(left, blocks.select("key", "visitor_id"), "key").select("id", "visitor_id").distinct()
 
 
+def recall(pairs: DataFrame, templates: DataFrame, most: int = BLOCK_CAP) -> tuple[DataFrame, DataFrame]:
+    """Candidates that have a template, at most ``most`` (least visitor ids first) for each probe, and ``(id, kept, dropped)``.
+
+    ``pairs``: distinct ``(id, visitor_id)``, stored; ``templates`` has one row for each visitor. Entries of visitors without a template are
+    dangling and don't count. Ranks are cut before the shuffle, so a probe with very many candidates doesn't meet one task whole.
+    """
+    known = skewed_join(pairs, templates.select("visitor_id").distinct(), "visitor_id")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("visitor_id"))
+    kept = known.withColumn("place", place).where(F.col("place") <= most).drop("place")
+    n = F.least(F.col("n"), F.lit(most))
+    counts = known.groupBy("id").agg(F.count("*").alias("n")).select("id", n.alias("kept"), (F.col("n") - n).alias("dropped"))
+    return kept.select("id", "visitor_id"), counts
+
+
 def without_visitors(entries: DataFrame, erased: DataFrame) -> DataFrame:
     """Index entries but those of erased visitors."""
-    return entries.join(erased.select("visitor_id").distinct(), "visitor_id", "left_anti")
+    return entries.join(erased.select("visitor_id").distinct(), "visitor_id", "left_anti").select(*entries.columns)

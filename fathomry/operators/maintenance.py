@@ -7,6 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import probe_digest
+
+
+#: Records that are ranked in one task at most.
+TIES = 10_000
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -57,20 +63,38 @@ def expire(records: DataFrame, now: int, ttl: int) -> DataFrame:
     return records.where(F.lit(now) - F.col("last_seen") <= ttl)
 
 
-def cap(records: DataFrame, most: int) -> DataFrame:
-    """The ``most`` records seen last (of equal ones, the greatest id goes first).
+def cap(records: DataFrame, most: int, current: DataFrame | None = None) -> DataFrame:
+    """The ``most`` records seen last (of equal ones, the greatest id goes first); those of ``current (visitor_id)`` are never the ones to go.
 
-    A global rank would need all rows in one task. The time from which on all fit is found by counting per time instead,
-    and only the records right at that time are ranked, cut before the shuffle.
+    A global rank would need all rows in one task. The time from which on all fit is found by counting per time instead, and
+    of the records right at that time, which may be very many, the part of the id up to which they fit, in the same
+    way; only ``TIES`` records or fewer are ranked.
     """
-    per = records.groupBy("last_seen").count()
-    bounds = _cut_time(per, most)
+    if current is not None:
+        kept = records.join(current.select("visitor_id").distinct(), "visitor_id", "left_semi")
+        rest = records.join(current.select("visitor_id").distinct(), "visitor_id", "left_anti")
+        return kept.unionByName(cap(rest, max(0, most - kept.count())))
+    if most <= 0:
+        return records.limit(0)
+    bounds = _cut_time(records.groupBy("last_seen").count(), most)
     if bounds is None:
         return records
     time, room = bounds
     newer = records.where(F.col("last_seen") > time)
-    edge = records.where(F.col("last_seen") == time).orderBy("visitor_id").limit(room)
-    return newer.unionByName(edge)
+    edge = records.where(F.col("last_seen") == time)
+    # Ids in their own order, seven bytes at a time; -number puts the least id first.
+    kept, skip = newer, 0
+    while True:
+        seven = F.rpad(F.substring(F.encode(F.col("visitor_id").cast("string"), "UTF-8"), skip + 1, 7), 7, F.lit(b"\0"))
+        placed = edge.withColumn("__at", -F.conv(F.hex(seven), 16, 10).cast("bigint"))
+        found = _cut_time(placed.groupBy(F.col("__at").alias("last_seen")).count(), room)
+        if found is None:
+            return kept.unionByName(edge)
+        at, room = found
+        kept = kept.unionByName(placed.where(F.col("__at") > at).drop("__at"))
+        edge, skip = placed.where(F.col("__at") == at).drop("__at"), skip + 7
+        if edge.count() <= TIES:
+            return kept.unionByName(edge.orderBy("visitor_id").limit(room))
 
 
 def _cut_time(per: DataFrame, most: int, fan: int = 1024) -> tuple[int, int] | None:
@@ -116,6 +140,12 @@ def retire(records: DataFrame, entries: DataFrame, before: int) -> tuple[DataFra
     return records.where(F.col("last_seen") >= before), erase(entries, gone)
 
 
+def issue(requests: DataFrame, key: str, at: str, secret: bytes, ttl_ms: int = 30_000) -> DataFrame:
+    """``(<key>, nonce, expires_ms)``: a 128-bit token as hex for each request, derived from its key, so that a task that runs again gives the same one."""
+    nonce = F.substring(probe_digest(secret, F.col(key).cast("string")), 1, 32)
+    return requests.where(F.col(key).isNotNull()).select(key, nonce.alias("nonce"), (F.col(at) + ttl_ms).alias("expires_ms"))
+
+
 def single_use(issued: DataFrame, uses: DataFrame, closed: bool = True) -> DataFrame:
     """``(nonce, used_ms, outcome)`` of each use of a one-time token, in order of time.
 

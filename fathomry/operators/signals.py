@@ -62,6 +62,11 @@ def consistency(agent: Column | str, ja4: Column | str) -> Column:
     return F.when(F.coalesce(seen, F.lit("unknown")) == "unknown", "degraded").when(F.coalesce(against, F.lit(False)), "mismatch").otherwise("consistent")
 
 
+def consistent(state: Column | str) -> Column:
+    """False for a mismatch only."""
+    return F.coalesce(_col(state) != "mismatch", F.lit(True))
+
+
 def adjustment(state: Column | str) -> Column:
     s = _col(state)
     return F.when(s == "consistent", AGREES).when(s == "mismatch", CONTRADICTS).otherwise(0.0)

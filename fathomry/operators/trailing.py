@@ -78,6 +78,29 @@ def trailing_count(events: DataFrame, key: str, ts: str, window: int, name: str
     return sums.withColumnsRenamed({"key": key, "ts": ts, "n": name})
 
 
+def scoped(*scopes: tuple[str, DataFrame, str, str, str]) -> DataFrame:
+    """``(key, member, ts)`` of several logs in one: each ``(scope, rows, key, member, ts)`` with its keys under its scope's name."""
+    parts = [rows.where(F.col(k).isNotNull()).select(F.concat(F.lit(f"{name}:"), F.col(k).cast("string")).alias("key"), F.col(m).cast("string").alias("member"), F.col(t).alias("ts")) for name, rows, k, m, t in scopes]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def rate_bands(verdicts: DataFrame, id_: str, fresh: str, ts_s: str, scopes: dict[str, tuple[str, tuple[int, int]]], window: int) -> DataFrame:
+    """``(<id>, <name>...)``: band of the number of new devices in the ``window`` seconds before, for each scope.
+
+    ``scopes``: name of the result, its key column and the bounds of its bands. Only rows whose ``fresh`` is true are
+    counted and rated; all others, and rows without key, are ``low``.
+    """
+    out = verdicts.select(id_, fresh, F.col(ts_s).alias("__s"), *[k for k, _ in scopes.values()])
+    for name, (key, bounds) in scopes.items():
+        n = trailing_count(verdicts.where(F.col(fresh)), key, ts_s, window, "__n").withColumnsRenamed({ts_s: "__s"})
+        out = out.join(n, [key, "__s"], "left")
+        out = out.withColumn(name, F.when(F.col(fresh) & F.col("__n").isNotNull(), band(F.col("__n"), *bounds)).otherwise("low")).drop("__n")
+    return out.select(id_, *scopes)
+
+
 def latest(events: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
     """The last ``n`` rows of each key with their ``rank`` (1: the last); ranks are cut before the shuffle, too."""
     by = Window.partitionBy(key).orderBy(*[F.col(c).desc_nulls_last() for c in order])

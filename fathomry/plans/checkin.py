@@ -45,6 +45,13 @@ def rolling_members(spark: SparkSession, folder: str) -> DataFrame:
     return trailing.trailing_distinct(log(spark, folder), "visitor", "account", "ts", {"live": HOUR}, closed=False)
 
 
+def rolling_scopes(spark: SparkSession, folder: str) -> DataFrame:
+    """Members alive for an hour in three scopes of one log: visitors new at an address, accounts of a visitor, accounts behind an address."""
+    rows = addressed(spark, folder)
+    every = trailing.scoped(("nv", rows, "ip", "visitor", "ts"), ("v", rows, "visitor", "account", "ts"), ("ip", rows, "ip", "account", "ts"))
+    return trailing.trailing_distinct(every, "key", "member", "ts", {"live": HOUR}, closed=False)
+
+
 def _asof(spark: SparkSession, folder: str, key: str, member: str, windows: dict[str, int]) -> DataFrame:
     rows = log(spark, folder)
     at = rows.where(F.col(key).isNotNull()).withColumn("now", rows.select(F.max("ts")).scalar())
@@ -136,7 +143,7 @@ def profile(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "checkin_profile": profile,
     "checkin_fanout_per_event": fanout_per_event, "checkin_devices_per_event": devices_per_event, "checkin_ip_accounts_per_event": ip_accounts_per_event,
-    "rolling_members": rolling_members, "checkin_fanout_asof": fanout_asof, "checkin_device_count_asof": device_count_asof,
+    "rolling_members": rolling_members, "rolling_scopes": rolling_scopes, "checkin_fanout_asof": fanout_asof, "checkin_device_count_asof": device_count_asof,
     "checkin_new_device_rate": new_device_rate, "checkin_regularity": regularity, "checkin_minute_burst": minute_burst,
     "checkin_minute_burst_ip": minute_burst_ip, "velocity_ip_band": velocity_ip_band, "ip_risk_cidr": address_risk, "retention_purge": retention,
 }
@@ -188,6 +195,8 @@ ORACLES = {
     "checkin_devices_per_event": _per_event("ev", _LOG, "account", "visitor", {"d7": 7 * DAY, "d30": 30 * DAY}),
     "checkin_ip_accounts_per_event": _per_event("ea", _ADDR, "ip", "account", {"h1": HOUR, "h24": DAY}),
     "rolling_members": _per_event("ev", _LOG, "visitor", "account", {"live": HOUR}, closed=False),
+    "rolling_scopes": _per_event("sc", f"""{_ADDR}, sc AS (SELECT 'nv:' || ip AS key, visitor AS member, ts FROM ea UNION ALL SELECT 'v:' || visitor, account, ts FROM ea
+        UNION ALL SELECT 'ip:' || ip, account, ts FROM ea)""", "key", "member", {"live": HOUR}, closed=False),
     "checkin_fanout_asof": _at_end("visitor", "account", {"h24": DAY, "d7": 7 * DAY}),
     "checkin_device_count_asof": _at_end("account", "visitor", {"d7": 7 * DAY, "d30": 30 * DAY}),
     "checkin_new_device_rate": f"""WITH {_LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY ts DESC, event_id DESC) AS k FROM ev

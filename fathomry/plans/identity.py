@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical, hashing
 from ..functions.lineage import cut
-from ..operators import blocking, maintenance, replay, scoring, signals
+from ..operators import blocking, maintenance, replay, scoring, signals, trailing
 from ..sources import table
 
 SALT = hashing.salt_from_secret("fathomry")
@@ -63,35 +63,36 @@ def minhash_band_keys(spark: SparkSession, folder: str) -> DataFrame:
     return fonts.select("id", F.explode(blocking.band_keys(F.col("elems"), SEED)).alias("key"))
 
 
-def _entries(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Probe keys, index of the library (one visitor for each device) and components of all, stored once."""
-    obs = _split(observations(spark, folder))
-    comps = cut(components(obs))
-    keys = cut(blocking.blocking_keys(comps, SEED)).join(obs.select("id", "device_id", "library", "ts"), "id")
-    index = blocking.index(keys.where("library").select("key", F.col("id").alias("visitor_id"), "ts"), ["ts", "visitor_id"])
-    probes = keys.where("not library").select("id", "key")
-    kinds = cut(comps.join(obs.select("id", "library"), "id"))
-    return probes, index, kinds
+def _entries(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Keys of the later observations, index of the library (one visitor for each device), components of the library and of the later ones; all stored."""
+    obs = cut(_split(observations(spark, folder)))
+    library, asked = cut(components(obs.where("library"))), cut(components(obs.where("not library")))
+    entries = blocking.blocking_keys(library, SEED).join(obs.select("id", "ts"), "id").select("key", F.col("id").alias("visitor_id"), "ts")
+    return cut(blocking.blocking_keys(asked, SEED)), cut(blocking.index(entries, ["ts", "visitor_id"])), library, asked
 
 
 def candidate_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of later observations and library observations that share a key."""
-    probes, index, _ = _entries(spark, folder)
+    probes, index, *_ = _entries(spark, folder)
     return blocking.candidates(probes, index)
 
 
+def recall_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates of each later observation that have a template (each fifth visitor of the index has none), as bounded for a probe, and how many the bound drops."""
+    probes, index, library, _ = _entries(spark, folder)
+    known = library.select(F.col("id").alias("visitor_id")).where("visitor_id % 5 <> 0")
+    return blocking.recall(cut(blocking.candidates(probes, index)), known)[1]
+
+
 def value_frequency(spark: SparkSession, folder: str) -> DataFrame:
     """How often each scalar value was seen."""
     return scoring.frequency(components(observations(spark, folder)), SALT)
 
 
-def _weights(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    probes, index, kinds = _entries(spark, folder)
-    pairs = cut(blocking.candidates(probes, index))
-    library = kinds.where("library").drop("library")
-    asked = kinds.where("not library").drop("library")
+def _weights(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    probes, index, library, asked = _entries(spark, folder)
     probe = scoring.probes(asked, SALT, scoring.frequency(library, SALT))
-    return scoring.compared(pairs, probe, scoring.packed(library)), asked, pairs
+    return scoring.compared(blocking.candidates(probes, index), probe, scoring.packed(library)), asked
 
 
 def fs_candidate_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,26 +103,37 @@ def fs_candidate_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 def score_decision(spark: SparkSession, folder: str) -> DataFrame:
     """Decision for each later observation."""
-    w, asked, _ = _weights(spark, folder)
+    w, asked = _weights(spark, folder)
     out = scoring.decide(asked, scoring.scores(w))
     return out.select("id", "visitor_id", "decision", F.round("score", 6).alias("score"), "compared", "collision_risk", F.round("confidence", 6).alias("confidence"))
 
 
 def score_block_scope(spark: SparkSession, folder: str) -> DataFrame:
     """Score of each pair with rarities of the probe's own candidates."""
-    probes, index, kinds = _entries(spark, folder)
-    pairs = cut(blocking.candidates(probes, index))
-    s = scoring.block_scope(pairs, kinds.where("not library").drop("library"), kinds.where("library").drop("library"), SALT)
+    probes, index, library, asked = _entries(spark, folder)
+    s = scoring.block_scope(cut(blocking.candidates(probes, index)), asked, library, SALT)
     return s.select("id", "visitor_id", F.round("score", 6).alias("score"), "compared")
 
 
+def _confirmed(w: DataFrame, asked: DataFrame) -> DataFrame:
+    """How often each component agreed over confirmed matches; ``w`` stored."""
+    best = scoring.decide(asked, scoring.scores(w)).where("decision = 'match'").select("id", "visitor_id")
+    return scoring.agreement(w.join(best, ["id", "visitor_id"]).select(F.explode("weights").alias("x")).select("x.name", "x.sim"))
+
+
 def agreement_rates(spark: SparkSession, folder: str) -> DataFrame:
     """Agreement of each component over confirmed matches."""
-    w, asked, _ = _weights(spark, folder)
-    w = cut(w)
-    best = scoring.decide(asked, scoring.scores(w)).where("decision = 'match'").select("id", "visitor_id")
-    rows = w.join(best, ["id", "visitor_id"]).select(F.explode("weights").alias("x")).select("x.name", "x.sim")
-    return scoring.agreement(rows)
+    w, asked = _weights(spark, folder)
+    return _confirmed(cut(w), asked)
+
+
+def score_learned(spark: SparkSession, folder: str) -> DataFrame:
+    """Score of each pair with the reliabilities that the confirmed matches of a first pass teach."""
+    probes, index, library, asked = _entries(spark, folder)
+    pairs, counts, packed = cut(blocking.candidates(probes, index)), scoring.frequency(library, SALT), scoring.packed(library)
+    learned = _confirmed(cut(scoring.compared(pairs, scoring.probes(asked, SALT, counts), packed)), asked)
+    s = scoring.scores(scoring.compared(pairs, scoring.probes(asked, SALT, counts, learned), packed))
+    return s.select("id", "visitor_id", F.round("score", 6).alias("score"), "compared")
 
 
 def template_fold(spark: SparkSession, folder: str) -> DataFrame:
@@ -222,36 +234,48 @@ def hmac_probe(spark: SparkSession, folder: str) -> DataFrame:
     return obs.select("id", hashing.probe_digest(b"key", text).alias("digest"), hashing.signature(b"key", "ts", text).alias("signature"))
 
 
-def _prepared(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    obs = observations(spark, folder)
-    text = F.to_json(F.struct(*COLUMNS))
-    seen = obs.select("id", "ts", canonical.visitor_id(text).alias("minted"))
-    return replay.prepared(components(obs), seen, SALT, SEED), obs.select("id", F.col("device_id").alias("device"), "ts")
+def nonce_issue(spark: SparkSession, folder: str) -> DataFrame:
+    """A one-time token for each observation."""
+    return maintenance.issue(observations(spark, folder), "id", "ts", b"key")
 
 
-def identify_replay(spark: SparkSession, folder: str) -> DataFrame:
-    """Outcomes of all observations in order of time, each with the memory of those before."""
-    return replay.replay(_prepared(spark, folder)[0])
+def exact_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each exact set of components was seen, by the id made of it."""
+    obs = observations(spark, folder).select(canonical.visitor_id(F.to_json(F.struct(*COLUMNS))).alias("visitor_id"))
+    return obs.groupBy("visitor_id").agg(F.count("*").alias("seen_count"))
 
 
-def eval_rates(spark: SparkSession, folder: str) -> DataFrame:
-    """Stability and collisions of the replay against the labelled devices."""
-    rows, truth = _prepared(spark, folder)
-    return replay.evaluate(cut(replay.replay(rows)), truth)
+def _batch(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Outcomes of the later observations as one batch against the library of first ones, and all observations."""
+    obs = cut(_split(observations(spark, folder)))
+    library, batch = cut(components(obs.where("library"))), cut(components(obs.where("not library")))
+    keys = blocking.blocking_keys(library, SEED).select("key", F.col("id").cast("string").alias("visitor_id"))
+    index = cut(blocking.index(keys, ["visitor_id"]))
+    seen = cut(obs.where("not library").select("id", "ts", canonical.visitor_id(F.to_json(F.struct(*COLUMNS))).alias("minted")))
+    packed = scoring.packed(library.withColumn("id", F.col("id").cast("string")))
+    return replay.identify_batch(batch, seen, packed, index, scoring.frequency(library, SALT), None, SALT, SEED), obs
 
 
 def identify_batches(spark: SparkSession, folder: str) -> DataFrame:
     """Outcomes of the later observations as one batch against the library of first ones."""
-    obs = _split(observations(spark, folder))
-    comps = cut(components(obs))
-    kinds = comps.join(obs.select("id", "library", "ts"), "id")
-    library = kinds.where("library").drop("library", "ts")
-    keys = blocking.blocking_keys(library, SEED).select("key", F.col("id").alias("visitor_id"))
-    seen = obs.where("not library").select("id", "ts", canonical.visitor_id(F.to_json(F.struct(*COLUMNS))).alias("minted"))
-    batch = kinds.where("not library").drop("library", "ts")
-    index = blocking.index(keys, ["visitor_id"])
-    out = replay.identify_batch(batch, seen, scoring.packed(library.withColumn("id", F.col("id").cast("string"))), index.withColumn("visitor_id", F.col("visitor_id").cast("string")), scoring.frequency(library, SALT), None, SALT, SEED)
-    return out.select("id", "visitor_id", "decision", F.round("confidence", 6).alias("confidence"))
+    return _batch(spark, folder)[0].select("id", "visitor_id", "decision", F.round("confidence", 6).alias("confidence"))
+
+
+def eval_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Stability and collisions of the batch's outcomes (the library's observations have themselves for ids) against the labelled devices."""
+    out, obs = _batch(spark, folder)
+    own = obs.where("library").select(F.col("id").cast("string").alias("id"), F.col("id").cast("string").alias("visitor_id"))
+    every = cut(out.select(F.col("id").cast("string").alias("id"), "visitor_id").unionByName(own))
+    return replay.evaluate(every, obs.select("id", F.col("device_id").alias("device"), "ts"))
+
+
+def velocity_gate(spark: SparkSession, folder: str) -> DataFrame:
+    """Bands of new devices in an hour behind each observation's address and class of handshake; only new devices are counted and rated."""
+    out, _ = _batch(spark, folder)
+    asked = requests(spark, folder).select("id", "ip", signals.handshake_class("ja4").alias("shape"), F.floor(F.col("ts") / 1000).alias("s"))
+    verdicts = cut(out.select("id", "is_new_device").join(asked, "id"))
+    scopes = {"new_device_velocity": ("ip", trailing.IP_BAND), "new_device_velocity_ja4": ("shape", trailing.CLASS_BAND)}
+    return trailing.rate_bands(verdicts, "id", "is_new_device", "s", scopes, trailing.RATE_WINDOW_S)
 
 
 QUERIES = {
@@ -261,7 +285,8 @@ QUERIES = {
     "agreement_rates": agreement_rates, "template_fold": template_fold, "record_counters": record_counters, "cap_evict": cap_evict,
     "template_retention": template_retention, "capped_index": capped_index, "index_rows": index_rows, "ua_class": ua_class, "ja4_class": ja4_class,
     "tls_consistency": tls_consistency, "asn_risk": asn_risk, "nonce_outcome": nonce_outcome, "hmac_probe": hmac_probe,
-    "identify_replay": identify_replay, "eval_rates": eval_rates, "identify_batches": identify_batches,
+    "eval_rates": eval_rates, "identify_batches": identify_batches, "score_learned": score_learned, "recall_counts": recall_counts,
+    "nonce_issue": nonce_issue, "exact_matches": exact_matches, "velocity_gate": velocity_gate,
 }
 
 
@@ -377,7 +402,41 @@ def _hmac(message: str) -> str:
     return f"sha256(unhex('{_PAD['out']}') || unhex(sha256(unhex('{_PAD['in']}') || {message})))"
 
 
+_LEARNED = f"""{_DECIDED},
+learned AS (SELECT name, count(*) FILTER (sim >= 0.5) AS agree, count(*) AS total FROM cmp JOIN best USING (id, visitor_id) WHERE decision = 'match' GROUP BY name),
+again AS (SELECT cmp.id, cmp.visitor_id, cmp.name, sim, u, CASE WHEN coalesce(total, 0) = 0 THEN cmp.prior ELSE least(greatest((agree + 20 * cmp.prior) / (total + 20), 1e-4), 0.9999) END AS prior
+  FROM cmp LEFT JOIN learned USING (name))"""
+_JSON = "'{' || concat_ws(',', " + ", ".join(f"""CASE WHEN {c} IS NOT NULL THEN '"{c}":' || to_json({c})::VARCHAR END""" for c in sorted(COLUMNS)) + ") || '}'"
+#: The batch form: visitors are texts, blocks hold the least ids first, new devices that share a key take the id of the first of them.
+_BATCH = f"""{_DECIDED.replace("SELECT key, id AS visitor_id FROM", "SELECT key, id::VARCHAR AS visitor_id FROM").replace("ORDER BY ts, id) AS r", "ORDER BY id::VARCHAR) AS r").replace("t.id = pairs.visitor_id", "t.id::VARCHAR = pairs.visitor_id").replace("SELECT DISTINCT id FROM comp WHERE id NOT IN (FROM lib)", "SELECT id FROM obs WHERE id NOT IN (FROM lib)")},
+mint AS (SELECT id, ts, sha256({_JSON}) AS minted FROM obs),
+fresh AS (SELECT best.id, ts, minted FROM best JOIN mint USING (id) WHERE decision = 'new_device'),
+head AS (SELECT key, min((ts, id, minted)) AS h FROM fresh JOIN keys USING (id) GROUP BY key),
+made AS (SELECT id, coalesce(min(h)[3], any_value(minted)) AS made FROM fresh LEFT JOIN keys USING (id) LEFT JOIN head USING (key) GROUP BY id),
+batch AS (SELECT best.*, CASE WHEN decision = 'new_device' THEN made ELSE visitor_id END AS resolved FROM best LEFT JOIN made USING (id))"""
+
+
+def _band(key: str, bounds: tuple[int, int]) -> str:
+    n = f"count(*) OVER (PARTITION BY {key}, decision = 'new_device' ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN decision <> 'new_device' OR {key} IS NULL THEN 'low' WHEN {n} >= {bounds[1]} THEN 'high' WHEN {n} >= {bounds[0]} THEN 'medium' ELSE 'low' END"
+
+
 ORACLES = {
+    "score_learned": f"WITH {_LEARNED} SELECT id, visitor_id, round(sum({_W} ORDER BY name), 6) AS score, CAST(count(*) AS INT) AS compared FROM again GROUP BY id, visitor_id",
+    "recall_counts": f"WITH {_PAIRS} SELECT id, least(count(*), 1024) AS kept, count(*) - least(count(*), 1024) AS dropped FROM pairs WHERE visitor_id % 5 <> 0 GROUP BY id",
+    "nonce_issue": f"WITH {_OBS} SELECT id, substr({_hmac('encode(id::VARCHAR)')}, 1, 32) AS nonce, ts + 30000 AS expires_ms FROM obs",
+    "exact_matches": f"WITH {_OBS} SELECT sha256({_JSON}) AS visitor_id, count(*) AS seen_count FROM obs GROUP BY 1",
+    "identify_batches": f"WITH {_BATCH} SELECT id, resolved AS visitor_id, decision, round({_CONFIDENCE}, 6) AS confidence FROM batch",
+    "eval_rates": f"""WITH {_BATCH},
+        o AS (SELECT id, resolved AS v FROM batch UNION ALL SELECT id, id::VARCHAR FROM lib), t AS (SELECT o.id, v, device_id, obs.ts, o.id::VARCHAR AS nm FROM o JOIN obs USING (id)),
+        own AS (SELECT v, min((ts, nm, device_id)) AS o FROM t GROUP BY v), st AS (SELECT device_id, min((ts, nm)) AS s FROM t GROUP BY device_id),
+        j AS (SELECT t.nm <> st.s[2] AS revisit, t.nm = own.o[2] AS first, t.device_id = own.o[3] AS mine, t.device_id FROM t JOIN own USING (v) JOIN st ON st.device_id = t.device_id),
+        n AS (SELECT count(*) AS observations, count(DISTINCT device_id) AS devices, count(*) FILTER (revisit) AS revisits, count(*) FILTER (revisit AND mine AND NOT first) AS stable,
+          count(*) FILTER (NOT mine) AS collisions, count(*) FILTER (first) AS minted FROM j)
+        SELECT *, CASE WHEN revisits = 0 THEN 1.0 ELSE stable / revisits END AS stability_rate, CASE WHEN observations = 0 THEN 0.0 ELSE collisions / observations END AS collision_rate FROM n""",
+    "velocity_gate": f"""WITH {_BATCH}, {_REQ[_REQ.index("req AS"):]},
+        v AS (SELECT id, decision, ip, {_SHAPE} AS shape, ts // 1000 AS s FROM batch JOIN req USING (id) JOIN (SELECT id, ts FROM obs) USING (id))
+        SELECT id, {_band('ip', (5, 20))} AS new_device_velocity, {_band('shape', (100, 400))} AS new_device_velocity_ja4 FROM v""",
     "stored_components": f"WITH {_COMP} SELECT id, name, kind, cat, num, {_JOINED} FROM comp",
     "template_components": """
         WITH t AS (SELECT arg_max(components, last_seen) AS c FROM templates WHERE visitor_id IS NOT NULL GROUP BY visitor_id),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashing import signature
+
 
 def valid_objects(df: DataFrame, text: str, allowed: list[str], required: list[str] = ()) -> DataFrame:
     """``df`` with ``problem``: null for JSON objects that have only ``allowed`` members and all ``required`` ones."""
@@ -40,6 +42,28 @@ def fixture(spark: SparkSession, path: str) -> DataFrame:
     return visits.select("place", "device", "visit", F.to_json("o").alias("components"))
 
 
+def signed(df: DataFrame, key: bytes, issued_ms: str, columns: list[str]) -> DataFrame:
+    """``(body, timestamp, signature)``: each row as JSON text, serialised once, with its time of issue and signature over both."""
+    rows = df.select(F.to_json(F.struct(*columns)).alias("body"), F.col(issued_ms).cast("bigint").alias("timestamp"))
+    return rows.withColumn("signature", signature(key, "timestamp", "body"))
+
+
+#: How the tables lie: columns of their folders, or key and number of their buckets (in place of an index).
+LAYOUT = {"checkin_events": {"folders": ["utc_day"]}, "blocking_index": {"buckets": (64, "key")}, "templates": {"buckets": (64, "visitor_id")}, "records": {"folders": []}}
+
+
+def lay_out(df: DataFrame, name: str, path: str) -> None:
+    """Writes the managed table ``name`` as ``LAYOUT`` says; bucketed tables join on their key without a shuffle."""
+    w = df.write.mode("overwrite").option("path", path).format("parquet")
+    how = LAYOUT[name]
+    if "buckets" in how:
+        n, key = how["buckets"]
+        w = w.bucketBy(n, key).sortBy(key)
+    elif how["folders"]:
+        w = w.partitionBy(*how["folders"])
+    w.saveAsTable(name)
+
+
 def append(df: DataFrame, path: str, by: list[str] = ()) -> None:
     """Appends rows to a Parquet table, partitioned by ``by``."""
     df.write.mode("append").partitionBy(*by).parquet(path)
