@@ -7,8 +7,8 @@ finer levels (and more register values), which matters for comparing sketches; t
 Estimates are maximum likelihood under Poisson arrivals: a register is at most ``k`` with probability
 ``exp(-x * base**-k)``, where ``x`` is identifiers per register, from empty to full sketches in one model. Two sketches
 share ``g`` of ``a`` and ``b`` identifiers per register with
-``P(A <= i, B <= j) = exp(-((a - g) * base**-i + (b - g) * base**-j + g * base**-min(i, j)))``; ``g`` is found by maximum
-likelihood over all registers, which gives union, intersection and Jaccard.
+``P(A <= i, B <= j) = exp(-((a - g) * base**-i + (b - g) * base**-j + g * base**-min(i, j)))``; ``a``, ``b`` and ``g`` are found together by
+maximum likelihood over all registers, which gives union, intersection and Jaccard with their errors.
 
 Stored sparsely: a sketch is the list of its non-empty registers (4 bytes each), so a group of three identifiers takes 12
 bytes and the largest group ``4 * m`` for each counted column.
@@ -68,36 +68,64 @@ class Registers:
         error = np.sqrt(np.maximum(self.m**2 / np.maximum(slope, 1e-300) - count, 0))
         return count, np.where(filled > 0, error, 0.0)
 
-    def joint(self, a: np.ndarray, b: np.ndarray) -> tuple[float, float, float, float]:
-        """Union, intersection, Jaccard and the standard error of Jaccard for two dense register arrays (0: empty)."""
-        n, _ = self.estimate(np.zeros(int((a > 0).sum()), np.int64), a[a > 0], 1)
-        k, _ = self.estimate(np.zeros(int((b > 0).sum()), np.int64), b[b > 0], 1)
-        xa, xb = float(n[0]) / self.m, float(k[0]) / self.m
-        most = min(xa, xb)
-        if most == 0:
-            return (xa + xb) * self.m, 0.0, 0.0, 0.0
-        pairs, times = np.unique(np.stack([a, b]), axis=1, return_counts=True)
-        i, j = pairs.astype(np.float64)
-
-        def below(i: np.ndarray, j: np.ndarray, g: float) -> np.ndarray:
-            rate = (xa - g) * self.base**-i + (xb - g) * self.base**-j + g * self.base ** -np.minimum(i, j)
-            return np.where((i < 0) | (j < 0), 0.0, np.exp(-rate))
-
-        def likelihood(g: float) -> float:
-            p = below(i, j, g) - below(i - 1, j, g) - below(i, j - 1, g) + below(i - 1, j - 1, g)
-            return float((times * np.log(np.maximum(p, 1e-300))).sum())
-
-        lo, hi, golden = 0.0, most, (math.sqrt(5) - 1) / 2
+    def joint(self, a: np.ndarray, b: np.ndarray) -> tuple[float, float, float, float, float, float]:
+        """Union, intersection and Jaccard, each followed by its standard error, for two dense register arrays (0: empty).
+
+        The numbers only in one set, only in the other and in both are fitted together, by Fisher scoring on their logarithms;
+        the errors come from the inverse of the information matrix.
+        """
+        levels, times = np.unique(np.stack([a, b]), axis=1, return_counts=True)
+        i, j = levels.astype(np.float64)
+        alone = [self._rate(x) for x in (a, b)]
+        if min(alone) == 0:
+            size, error = self.estimate(*self._entries(np.maximum(a, b)), 1)
+            return float(size[0]), float(error[0]), 0.0, 0.0, 0.0, 0.0
+        corner = []
+        for di, dj, sign in ((0, 0, 1), (1, 0, -1), (0, 1, -1), (1, 1, 1)):
+            there = (i >= di) & (j >= dj)
+            low, other = self.base ** -(i - di), self.base ** -(j - dj)
+            corner.append((there * sign, np.stack([low, other, np.maximum(low, other)])))
+
+        def fit(rates: np.ndarray) -> tuple[float, np.ndarray]:
+            """Log-likelihood, and the relative derivatives of each pair of levels' probability by the rates."""
+            p, d = np.zeros(len(times)), np.zeros((3, len(times)))
+            for sign, power in corner:
+                f = sign * np.exp(-(rates @ power))
+                p += f
+                d -= f * power
+            p = np.maximum(p, 1e-300)
+            return float(times @ np.log(p)), d / p
+
+        both = max(sum(alone) - self._rate(np.maximum(a, b)), 1e-3 * min(alone))
+        rates = np.array([max(alone[0] - both, 1e-3 * alone[0]), max(alone[1] - both, 1e-3 * alone[1]), min(both, 0.999 * min(alone))])
+        least = 1e-7 * sum(alone)
+        now, slope = fit(rates)
         for _ in range(60):
-            c, d = hi - golden * (hi - lo), lo + golden * (hi - lo)
-            lo, hi = (lo, d) if likelihood(c) >= likelihood(d) else (c, hi)
-        g = (lo + hi) / 2
-        h = max(most * 1e-3, 1e-9)
-        mid = min(max(g, h), most - h) if most > 2 * h else g
-        bend = -(likelihood(mid + h) - 2 * likelihood(mid) + likelihood(mid - h)) / (h * h)
-        union = max(xa + xb - g, 1e-300)
-        error = (xa + xb) / union**2 / math.sqrt(bend) if bend > 0 else 0.0
-        return union * self.m, g * self.m, g / union, error
+            own = slope * rates[:, None]
+            move = np.linalg.lstsq((own * times) @ own.T + 1e-9 * np.eye(3), own @ times, rcond=None)[0]
+            step, better = 1.0, False
+            while step > 1e-4 and not better:
+                tried = np.maximum(rates * np.exp(np.clip(step * move, -3, 3)), least)
+                value, new = fit(tried)
+                better, step = value >= now, step / 2
+            if not better:
+                break
+            gain, rates, now, slope = value - now, tried, value, new
+            if gain < 1e-9:
+                break
+        # The model's variance holds that of the Poisson numbers of identifiers, which is no error of the estimate.
+        spread = self.m**2 * np.linalg.pinv((slope * times) @ slope.T) - np.diag(self.m * rates)
+        size = rates * self.m
+        union = float(size.sum())
+        turn = np.array([0.0, 0.0, 1 / union]) - size[2] / union**2
+        error = [math.sqrt(max(float(v @ spread @ v), 0.0)) for v in (np.ones(3), np.array([0.0, 0.0, 1.0]), turn)]
+        return union, error[0], float(size[2]), error[1], float(size[2]) / union, error[2]
+
+    def _entries(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.zeros(int((x > 0).sum()), np.int64), x[x > 0]
+
+    def _rate(self, x: np.ndarray) -> float:
+        return float(self.estimate(*self._entries(x), 1)[0][0]) / self.m
 
 
 def _pack(group: np.ndarray, slot: np.ndarray, level: np.ndarray, groups: int) -> pa.Array:
@@ -255,22 +283,27 @@ def estimates(df: DataFrame, names: list[str], r: Registers = Registers()) -> Da
 
 
 def overlaps(pairs: DataFrame, left: str, right: str, counted: int = 0, r: Registers = Registers()) -> DataFrame:
-    """Replaces the sketches ``left`` and ``right`` by ``union_size, common, jaccard, jaccard_error`` of one counted column."""
+    """Replaces the sketches ``left`` and ``right`` by union, intersection and Jaccard of one counted column.
+
+    Columns ``union_size, union_error, common, common_error, jaccard, jaccard_error``; errors are standard errors.
+    """
     keys = [c for c in pairs.columns if c not in (left, right)]
     kinds = dict(pairs.dtypes)
+    names = ["union_size", "union_error", "common", "common_error", "jaccard", "jaccard_error"]
 
-    def dense(row: np.ndarray, slot: np.ndarray, level: np.ndarray, i: int) -> np.ndarray:
-        out = np.zeros(r.m, dtype=np.int64)
-        own = (row == i) & (slot // r.m == counted)
-        out[slot[own] - counted * r.m] = level[own]
-        return out
+    def dense(column: pa.Array) -> Iterator[np.ndarray]:
+        row, slot, level = _unpack(column)
+        ends = np.searchsorted(row, np.arange(len(column) + 1))
+        for at, end in zip(ends[:-1], ends[1:], strict=True):
+            all_ = np.zeros((slot[at:end].max(initial=0) // r.m + counted + 1) * r.m, dtype=np.int64)
+            all_[slot[at:end]] = level[at:end]
+            yield all_[counted * r.m : (counted + 1) * r.m]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, c = _unpack(b.column(b.num_columns - 2)), _unpack(b.column(b.num_columns - 1))
-            found = [r.joint(dense(*a, i), dense(*c, i)) for i in range(b.num_rows)]
-            cols = [pa.array([f[x] for f in found], pa.float64()) for x in range(4)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *cols], names=[*keys, "union_size", "common", "jaccard", "jaccard_error"])
+            found = [r.joint(x, y) for x, y in zip(dense(b.column(b.num_columns - 2)), dense(b.column(b.num_columns - 1)), strict=True)]
+            cols = [pa.array([f[x] for f in found], pa.float64()) for x in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *cols], names=[*keys, *names])
 
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "union_size double, common double, jaccard double, jaccard_error double"])
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"{n} double" for n in names)])
     return map_arrow(pairs.select(*keys, left, right), run, schema)

@@ -46,10 +46,13 @@ def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_overlap(spark: SparkSession, folder: str) -> DataFrame:
-    """Visitors that two days in a row have in common."""
+    """Visitors and accounts that two days up to a week apart have in common."""
     days = cut(merge_sketches(_day_ip(spark, folder), ["day"]))
-    pairs = days.withColumnRenamed("sketch", "a").join(days.select((F.col("day") - 1).alias("day"), F.col("sketch").alias("b")), "day")
-    return overlaps(pairs, "a", "b", 0, REGISTERS).withColumn("day", day_text("day")).withColumnRenamed("day", "utc_day")
+    later = days.select("day", F.col("sketch").alias("b")).withColumn("apart", F.explode(F.sequence(F.lit(1), F.lit(7))))
+    later = later.select((F.col("day") - F.col("apart")).alias("day"), "apart", "b")
+    pairs = days.withColumnRenamed("sketch", "a").join(later, "day").select("day", "apart", "a", "b")
+    each = [overlaps(pairs, "a", "b", i, REGISTERS).withColumn("counted", F.lit(n)) for i, n in enumerate(COUNTED)]
+    return each[0].unionByName(each[1]).withColumn("day", day_text("day")).withColumnRenamed("day", "utc_day")
 
 
 def templates(spark: SparkSession, folder: str) -> DataFrame:
