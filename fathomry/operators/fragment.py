@@ -103,17 +103,18 @@ def placement(df: DataFrame, key: str, tasks: int | None = None, right: DataFram
     return pack(*estimate(df, key, tasks, right), tasks)
 
 
-def _placed(df: DataFrame, key: str, plan: Placement, of_heavy: Column) -> DataFrame:
-    """``df`` with ``__task``; ``of_heavy`` gives an array of tasks from ``__lines`` and ``__tasks`` of a frequent key.
+def _placed(df: DataFrame, key: str, plan: Placement, of_heavy: Column, several: bool) -> DataFrame:
+    """``df`` with ``__task``; ``of_heavy`` gives the tasks of a frequent key's row from ``__lines`` and ``__tasks``, as an array if ``several``.
 
     The frequent keys (at most ``tasks / SPLIT_ABOVE`` for each side) are broadcast, the buckets are one literal.
     """
     rows = [(k, lines, tasks) for k, (lines, tasks) in sorted(plan.heavy.items())]
     heavy = df.sparkSession.createDataFrame(rows, "__key string, __lines int, __tasks array<int>")
     light = F.split(F.lit(",".join(map(str, plan.light))), ",").cast("array<int>")  # folds to one literal
-    one = F.array(F.element_at(light, bucket_of(F.col(key), len(plan.light)) + 1))
-    at = F.when(F.col("__tasks").isNotNull(), F.array_distinct(of_heavy)).otherwise(one)
-    out = df.join(F.broadcast(heavy), F.col(key).cast("string") == F.col("__key"), "left").withColumn("__task", F.explode(at))
+    one = F.element_at(light, bucket_of(F.col(key), len(plan.light)) + 1)
+    is_heavy = F.col("__tasks").isNotNull()
+    at = F.explode(F.when(is_heavy, F.array_distinct(of_heavy)).otherwise(F.array(one))) if several else F.when(is_heavy, of_heavy).otherwise(one)
+    out = df.join(F.broadcast(heavy), F.col(key).cast("string") == F.col("__key"), "left").withColumn("__task", at)
     return out.drop("__key", "__lines", "__tasks")
 
 
@@ -123,15 +124,17 @@ def _pick(spread: Column, n: Column) -> Column:
 
 def fragment(df: DataFrame, key: str, spread: Column, plan: Placement) -> DataFrame:
     """The left side with ``__task``: a row of a light key on its task, of a heavy one on those of one line, picked by ``spread``."""
+    if all(len(tasks) == lines for lines, tasks in plan.heavy.values()):
+        return _placed(df, key, plan, F.element_at("__tasks", _pick(spread, F.col("__lines")) + 1), False)
     columns = (F.size("__tasks") / F.col("__lines")).cast("int")
-    return _placed(df, key, plan, F.slice("__tasks", _pick(spread, F.col("__lines")) * columns + 1, columns))
+    return _placed(df, key, plan, F.slice("__tasks", _pick(spread, F.col("__lines")) * columns + 1, columns), True)
 
 
 def replicate(df: DataFrame, key: str, plan: Placement, spread: Column | None = None) -> DataFrame:
     """The matching side with ``__task``: each row once for each distinct task of its key's column, picked by ``spread``."""
     columns = (F.size("__tasks") / F.col("__lines")).cast("int")
     own = _pick(F.lit(0) if spread is None else spread, columns)
-    return _placed(df, key, plan, F.filter("__tasks", lambda _, i: i % columns == own))
+    return _placed(df, key, plan, F.filter("__tasks", lambda _, i: i % columns == own), True)
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
