@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fathomry.functions import canonical, hashing
 from fathomry.operators import blocking, maintenance, replay, scoring, signals
 
+# Secret, devices, ids and confidences that a result must equal.
 SALT = hashing.salt_from_secret("fp-parity-vector-secret")
 A = {"webgl": "ANGLE (Intel)", "platform": "Linux x86_64", "timezone": "Asia/Shanghai", "audio": "124.04", "cpu_cores": 8, "device_memory": 8,
      "fonts": ["Arial", "Helvetica", "Courier", "Times", "Verdana"], "user_agent": "Chrome/120"}
