@@ -65,7 +65,7 @@ def hot(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["fs_candidate_scores", "score_decision", "score_block_scope", "agreement_rates", "score_learned", "identify_batches", "velocity_gate"])
+@pytest.mark.parametrize("name", ["fs_candidate_scores", "score_decision", "score_block_scope", "agreement_rates", "score_learned", "identify_batches", "velocity_gate", "eval_rates"])
 def test_nothing_is_moved_for_each_pair(spark, hot, name):
     """40,000 pairs of 200 probes and 200 visitors; moved with their components they were over 8 MB."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
