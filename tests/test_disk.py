@@ -1,10 +1,14 @@
 """What the scored queries keep on disk: each side of the grid once, and rows that are stored compressed."""
 
+from pathlib import Path
+
+import pytest
 from pyspark.sql import functions as F
-from test_cells import SALT, corpus, on_disk
+from test_cells import SALT, corpus, hot, on_disk  # noqa: F401
 
-from fathomry.functions import canonical
+from fathomry.functions import canonical, lineage
 from fathomry.operators import blocking, cells, scoring
+from fathomry.plans import catalog
 
 
 def test_probes_and_visitors_are_moved_once_whatever_the_cells(spark):
@@ -19,3 +23,15 @@ def test_probes_and_visitors_are_moved_once_whatever_the_cells(spark):
     assert cells.best(probe, visitors, scoring.AGREE, 8).count() > few
     many = on_disk(spark) - began - once
     assert many < once
+
+
+def stored_mb(spark):
+    return sum(p.stat().st_size for p in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).rglob("*") if p.is_file()) / 1e6
+
+
+@pytest.mark.parametrize("name", ["velocity_gate"])
+def test_what_is_stored_is_compressed(spark, hot, name):  # noqa: F811
+    lineage.checkpoint_dir(spark)
+    began = stored_mb(spark)
+    assert catalog.QUERIES[name](spark, hot).count()
+    assert stored_mb(spark) - began < 0.08
