@@ -29,7 +29,7 @@ def stored_mb(spark):
     return sum(p.stat().st_size for p in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).rglob("*") if p.is_file()) / 1e6
 
 
-@pytest.mark.parametrize("name", ["velocity_gate"])
+@pytest.mark.parametrize("name", ["velocity_gate", "eval_rates"])
 def test_what_is_stored_is_compressed(spark, hot, name):  # noqa: F811
     lineage.checkpoint_dir(spark)
     began = stored_mb(spark)
