@@ -7,7 +7,7 @@ or that it is sound. The prediction is inverted and counts when the bytes decode
 impossible, a clearly larger likelihood decides. Text that is garbled in a part of a unit is found as a span of well-formed
 sequences, classified and verified in the same way. A single sign that stands free in a text that is sound otherwise is a
 mention (texts about garbling show it) if it is quoted, or if sound text has no such word in such a sentence: sentences of
-the sample tell which letters stand free as words, among which words, and between which two words a free sign may stand.
+the corpus tell which letters stand free as words, among which words, and between which two words a free sign may stand.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import codecs
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..sources.shipping import map_arrow
 
 #: Encodings that UTF-8 is misread as, older ones and what they are misread as.
@@ -42,8 +43,8 @@ OLD_AS = {
 }
 TWICE = [("cp1252", "cp1252"), ("latin1", "latin1"), ("cp1252", "latin1"), ("latin1", "cp1252")]
 LOST = ["cp1252", "latin1"]
-#: Documents of the training sample; hash buckets of byte bigrams; passes of training.
-SAMPLE, BUCKETS, PASSES = 6_000, 1 << 15, 2
+#: Hash buckets of byte bigrams; passes of training.
+BUCKETS, PASSES = 1 << 15, 2
 #: Probability of a bucket that was never seen; bigrams of sound text that each chain's own are mixed with.
 RARE, PRIOR = 1e-6, 300.0
 #: Part of a unit that must consist of well-formed sequences where UTF-8 was misread and can't be had back.
@@ -56,6 +57,8 @@ BAD = "�"
 #: Signs that quote what lies between two of them; signs that may stand before a sign that is shown.
 QUOTES = "\"'`´‘’‚‛“”„‟‹›«»「」『』"
 BEFORE = QUOTES + "([{<"
+DAMAGED = re.compile(f"[{BAD}\x80-\x9f]")
+NEAR = re.compile(r"[\x00-\x7F]?[^\x00-\x7F]+[\x00-\x7F]{0,2}")
 FREE = re.compile(r"(?<!\w)[^\W\d_](?!\w)|(?<=\s)[^\w\s](?=\s)")
 
 
@@ -206,6 +209,30 @@ class Usage:
                 among.update(own)
                 self.letters[c] = (n + 1, among)
 
+    def rows(self) -> list[tuple[str | None, str | None, int]]:
+        """``(letter, word, n)``, to be added up: words of a letter's sentences (of all: no letter), numbers of sentences (no word), surroundings (a number for a word, ``*`` for a letter)."""
+        out = [(None, None, self.units), *((None, w, n) for w, n in self.words.items()), *(("*", str(h), 1) for h in self.between)]
+        for c, (n, among) in self.letters.items():
+            out += [(c, None, n), *((c, w, k) for w, k in among.items())]
+        return out
+
+    @classmethod
+    def of(cls, rows: Iterable[tuple[str | None, str | None, int]]) -> Usage:
+        out, among, sentences = cls([]), {}, {}
+        for c, w, n in rows:
+            if c == "*":
+                out.between.add(int(w))
+            elif c is None and w is None:
+                out.units = n
+            elif c is None:
+                out.words[w] = n
+            elif w is None:
+                sentences[c] = n
+            else:
+                among.setdefault(c, Counter())[w] = n
+        out.letters = {c: (n, among.get(c, Counter())) for c, n in sentences.items()}
+        return out
+
     def word(self, letter: str, sentence: str) -> bool:
         """Whether a letter may be a word of a sentence: it is one in sound text, and not less so among these words."""
         n, among = self.letters.get(letter.lower(), (0, Counter()))
@@ -240,39 +267,41 @@ class Model:
         return float(self.sound[code].mean()) if len(code) else 0.0
 
 
-class Training:
-    """Units with how often each stands for one of the corpus, garbled by every chain once."""
+def _counted(units: list[str], times: np.ndarray) -> np.ndarray:
+    """Rows of counts by bucket: of the units; then for each chain of what it makes of them, and of the units that it changes."""
+    out = np.zeros((1 + 2 * len(CHAINS), BUCKETS))
+
+    def add(row: int, found: tuple[np.ndarray, np.ndarray], w: np.ndarray) -> None:
+        out[row] += np.bincount(found[0], np.repeat(w, found[1]), BUCKETS)
 
-    def __init__(self, units: list[str], times: np.ndarray):
-        self.units, self.times = units, times
-        self.plain = bigrams(units)
-        self.chains = []
-        for c in CHAINS:
-            made = [(i, g) for i, u in enumerate(units) if (g := c.garble(u)) and g != u]
-            self.chains.append((np.array([i for i, _ in made], dtype=np.int64), bigrams([g for _, g in made])))
+    plain = bigrams(units)
+    add(0, plain, times)
+    for i, c in enumerate(CHAINS):
+        made = [(k, g) for k, u in enumerate(units) if (g := c.garble(u)) and g != u]
+        at = np.array([k for k, _ in made], dtype=np.int64)
+        own = np.zeros(len(units))
+        own[at] = times[at]
+        add(1 + 2 * i, bigrams([g for _, g in made]), times[at])
+        add(2 + 2 * i, plain, own)
+    return out
 
-    def model(self, keep: np.ndarray) -> Model:
-        """A multinomial model of each class; buckets never seen have the same probability in all of them."""
-        weight = self.times * keep
 
-        def counts(found: tuple[np.ndarray, np.ndarray], w: np.ndarray) -> np.ndarray:
-            return np.bincount(found[0], np.repeat(w, found[1]), BUCKETS)
+def _model(counts: np.ndarray, usage: Usage) -> Model:
+    """A multinomial model of each class from :func:`_counted`; buckets never seen have the same probability in all of them."""
 
-        def logs(n: np.ndarray) -> np.ndarray:
-            return np.log((n / max(n.sum(), 1) + RARE) / (1 + RARE * BUCKETS)).astype(np.float32)
+    def logs(n: np.ndarray) -> np.ndarray:
+        return np.log((n / max(n.sum(), 1) + RARE) / (1 + RARE * BUCKETS)).astype(np.float32)
 
-        sound = counts(self.plain, weight)
-        whole = logs(sound)
-        # The less there is to learn a chain from, the less it differs from sound text.
-        prior = PRIOR * sound / max(sound.sum(), 1)
-        over = np.zeros((BUCKETS, 2 * len(CHAINS)), dtype=np.float32)
-        for i, (at, after) in enumerate(self.chains):
-            garbled = logs(counts(after, weight[at]) + prior)
-            own = np.zeros(len(weight))
-            own[at] = weight[at]
-            over[:, i] = garbled - logs(counts(self.plain, own) + prior)
-            over[:, len(CHAINS) + i] = garbled - whole
-        return Model(whole, over, Usage([u for u, k in zip(self.units, keep, strict=True) if k]))
+    sound = counts[0]
+    whole = logs(sound)
+    # The less there is to learn a chain from, the less it differs from sound text.
+    prior = PRIOR * sound / max(sound.sum(), 1)
+    over = np.zeros((BUCKETS, 2 * len(CHAINS)), dtype=np.float32)
+    for i in range(len(CHAINS)):
+        garbled = logs(counts[1 + 2 * i] + prior)
+        over[:, i] = garbled - logs(counts[2 + 2 * i] + prior)
+        over[:, len(CHAINS) + i] = garbled - whole
+    return Model(whole, over, usage)
 
 
 def decide(unit: str, gain: np.ndarray, model: Model) -> tuple[Chain, str | None] | None:
@@ -459,53 +488,119 @@ def _mention(text: str, hit: tuple[int, int, str, str | None], usage: Usage) ->
     return len(bad) == 1 and _free(text, lo + bad[0][0], lo + bad[0][1], bad[0][2], usage)
 
 
-def fit(df: DataFrame, key: str, text: str, sample: int = SAMPLE) -> Model:
-    """Trains on a bounded sample of about ``sample`` texts with other than ASCII characters.
+def fit(df: DataFrame, key: str, text: str, sample: int | None = None) -> Model:
+    """Trains on all texts with other than ASCII characters, or on a share of them (by hash of key) that gives about ``sample``.
 
-    Texts are taken by hash of key, as large a share of all of these texts as gives ``sample`` of them (more or less by a
-    few roots of that number), so the sample and with it the model are the same however rows are laid out. The corpus holds garbled texts too. The first pass trains on units without obvious damage, each further pass on
-    those that the pass before takes for sound.
+    Counts are whole numbers that tasks add up, so the model is the same however rows are laid out. The corpus holds garbled
+    texts too. The first pass trains on units without obvious damage; each further pass takes off the counts of those that the
+    pass before takes for garbled. Units are garbled once where they agree in :func:`_near`, all that bigrams can tell. What comes
+    to the driver: at most 81 counts for each bucket, and the words, free signs and their surroundings in sound text (:class:`Usage`).
     """
     some = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").rlike(r"[^\x00-\x7F]"))
-    share = min(1.0, sample / max(some.count(), 1))
-    if share < 1:
+    if sample is not None:
+        share = min(1.0, sample / max(some.count(), 1))
         some = some.where(F.coalesce(F.pmod(F.xxhash64("k"), F.lit(1 << 30)), F.lit(0)) < int(share * (1 << 30)))
-    return train_on([r.t for r in some.collect()])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near, kinds = Counter(), {}
+            for t in b.column(0).to_pylist():
+                for u in UNIT.findall(t):
+                    if not u.isascii():
+                        near[_near(u)] += 1
+                        mask = _mask(u)
+                        kinds[mask] = min(kinds.get(mask, u), u)
+            near = {u: n for u, n in near.items() if _clean(u)}
+            kinds = {m: u for m, u in kinds.items() if _clean(u)}
+            yield pa.RecordBatch.from_arrays([pa.array([*near, *kinds], pa.string()), pa.array([None] * len(near) + [*kinds.values()], pa.string()), pa.array([*near.values()] + [0] * len(kinds), pa.int64())], names=["form", "unit", "n"])
+
+    units = map_arrow(some.select("t"), split, "form string, unit string, n bigint").groupBy("form", F.col("unit").isNull().alias("near")).agg(F.min("unit").alias("unit"), F.sum("n").alias("n"))
+    units = cut(units.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "form"))
+    near, whole = units.where("near").select("form", "n"), units.where("not near").select("unit")
+
+    def total(model: Model | None) -> np.ndarray:
+        """Counts of all units, or of those that a model takes for garbled."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((1 + 2 * len(CHAINS), BUCKETS))
+            for b in batches:
+                own, times = b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.float64)
+                if model:
+                    bad = ~_kept(own, model)
+                    own, times = [u for u, x in zip(own, bad, strict=True) if x], times[bad]
+                if own:
+                    out += _counted(own, times)
+            at = np.flatnonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out.ravel()[at].astype(np.int64))], names=["at", "n"])
+
+        sums = map_arrow(near, run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros((1 + 2 * len(CHAINS)) * BUCKETS)
+        out[sums["at"].to_numpy()] = sums["n"].to_numpy()
+        return out.reshape(-1, BUCKETS)
+
+    every = total(None)
+    before, model = None, _model(every, Usage([]))
+    for _ in range(PASSES - 1):
+        before, model = model, _model(every - total(model), Usage([]))
+
+    def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column(0).to_pylist()
+            keep = _kept(own, before) if before else np.ones(len(own), dtype=bool)
+            rows = Usage([u for u, k in zip(own, keep, strict=True) if k]).rows()
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["letter", "word", "n"])
+
+    rows = map_arrow(whole, used, "letter string, word string, n bigint").groupBy("letter", "word").agg(F.sum("n").alias("n")).toArrow()
+    model.usage = Usage.of(zip(*(rows[c].to_pylist() for c in ("letter", "word", "n")), strict=True))
+    return model
+
+
+def _mask(unit: str) -> str:
+    """Sentences that differ by numbers only are equal."""
+    return re.sub(r"[0-9]+", "0", unit)
+
+
+def _near(unit: str) -> str:
+    """The characters other than ASCII, each with one ASCII character before it and two behind (a lost lead byte may take one with it)."""
+    return "".join(NEAR.findall(unit))
+
+
+def _clean(unit: str) -> bool:
+    """Not damaged, and not made of well-formed sequences of one encoding for the most part."""
+    if DAMAGED.search(unit):
+        return False
+    return not _any_span().search(unit) or max(_covered(unit, b) for b in SINGLE) < COVERED
+
+
+def _kept(units: list[str], model: Model) -> np.ndarray:
+    """Which units a model takes for sound."""
+    return np.array([g.max() < UNVERIFIED or not (d := decide(u, g, model)) or d[1] is None for u, g in zip(units, model.gains(units), strict=True)], dtype=bool)
 
 
 def train_on(texts: list[str]) -> Model:
-    """See :func:`fit`."""
-    units = [u for t in texts for u in UNIT.findall(t) if not u.isascii()]
-    damaged = re.compile(f"[{BAD}\x80-\x9f]")
-
-    def clean(u: str) -> bool:
-        """Not damaged, and not made of well-formed sequences of one encoding for the most part."""
-        if damaged.search(u):
-            return False
-        return not _any_span().search(u) or max(_covered(u, b) for b in SINGLE) < COVERED
-
-    kinds: dict[str, tuple[str, int]] = {}
-    for u in units:
-        mask = re.sub(r"[0-9]+", "0", u)  # sentences that differ by numbers only are garbled once, with their number
-        first, n = kinds.get(mask, (u, 0))
-        kinds[mask] = (first, n + 1)
-    known = [x for x in kinds.values() if clean(x[0])]
-    training = Training([u for u, _ in known], np.array([n for _, n in known], dtype=np.float64))
-    keep = np.ones(len(known), dtype=bool)
-    model = training.model(keep)
+    """:func:`fit` on a few texts at hand."""
+    near, kinds = Counter(), {}
+    for u in (u for t in texts for u in UNIT.findall(t) if not u.isascii()):
+        if _clean(u):
+            near[_near(u)] += 1
+            kinds[_mask(u)] = min(kinds.get(_mask(u), u), u)
+    units, times = [*near], np.array([*near.values()], dtype=np.float64)
+    keep = np.ones(len(units), dtype=bool)
+    before, model = None, _model(_counted(units, times), Usage([]))
     for _ in range(PASSES - 1):
-        gains = model.gains(training.units)
-        keep = np.array([g.max() < UNVERIFIED or not (d := decide(u, g, model)) or d[1] is None for u, g in zip(training.units, gains, strict=True)], dtype=bool)
-        model = training.model(keep)
+        keep = _kept(units, model)
+        before, model = model, _model(_counted(units, times * keep), Usage([]))
+    whole = [*kinds.values()]
+    model.usage = Usage([u for u, k in zip(whole, _kept(whole, before), strict=True) if k] if before else whole)
     return model
 
 
-def restore(df: DataFrame, key: str, text: str, model: Model | None = None, sample: int = SAMPLE) -> DataFrame:
+def restore(df: DataFrame, key: str, text: str, model: Model | None = None, sample: int | None = None) -> DataFrame:
     """``(key, chain, restored)`` of the garbled texts; ``restored`` is null where the original can't be had.
 
     Defined cases: null, empty and pure ASCII texts are sound; texts of any length are examined whole; repeated rows give
     repeated rows; a null key stays null; an empty input gives no rows; other columns are ignored. There is no shuffle:
-    the model (about 5 MB, whatever the corpus) goes to the rows.
+    the model (about 10 MB, and the words of sound text) goes to the rows. What trains it is shuffled once, see :func:`fit`.
     """
     kinds = dict(df.dtypes)
     model = model or fit(df, key, text, sample)

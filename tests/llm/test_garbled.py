@@ -4,7 +4,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from fathomry.llm.garbled import CHAINS, UNIT, Chain, examine, fit, restore, train_on
+from fathomry.llm.garbled import CHAINS, UNIT, Chain, _near, bigrams, examine, fit, restore, train_on
 
 FOLDER = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test data")
@@ -134,3 +134,19 @@ def test_a_text_takes_one_chain(corpus, model):
     t = "Le café était fermé à Orléans, c'est désolé. Un été. La fenêtre gênée, l'hôtel réservé à côté."
     f = examine([c.garble(t)], model)[0]
     assert f and f[1] == t
+
+
+def test_all_texts_are_learned_from(spark):
+    """The model of a large corpus is that of all its texts, and reduced units have the bigrams of whole ones."""
+    rows = [(i, f"Größe {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} über é 4°: façade né’t. Ты {i} и я. schÃ¶ne GrÃ¼ÃŸe {i}") for i in range(7000)]
+    model, whole = fit(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text"), train_on([t for _, t in rows])
+    assert (model.sound == whole.sound).all() and (model.over == whole.over).all()
+    assert model.usage.units == whole.usage.units >= 7001 and vars(model.usage) == vars(whole.usage)
+
+
+def test_units_of_equal_signs_and_neighbours_have_equal_counts(corpus):
+    units = [u for t in corpus[0][:300] for u in UNIT.findall(t) if not u.isascii()]
+    for c in [None, *CHAINS]:
+        for u in units:
+            a, b = (u, _near(u)) if c is None else (c.garble(u), c.garble(_near(u)))
+            assert (a is None) == (b is None) and (a is None or (bigrams([a])[0] == bigrams([b])[0]).all())
