@@ -45,6 +45,8 @@ TWICE = [("cp1252", "cp1252"), ("latin1", "latin1"), ("cp1252", "latin1"), ("lat
 LOST = ["cp1252", "latin1"]
 #: Hash buckets of byte bigrams; passes of training.
 BUCKETS, PASSES = 1 << 15, 2
+#: Forms of texts whose soundness is kept at hand.
+KNOWN = 50_000
 #: Probability of a bucket that was never seen; bigrams of sound text that each chain's own are mixed with.
 RARE, PRIOR = 1e-6, 300.0
 #: Part of a unit that must consist of well-formed sequences where UTF-8 was misread and can't be had back.
@@ -249,6 +251,7 @@ class Model:
 
     def __init__(self, sound: np.ndarray, over: np.ndarray, usage: Usage):
         self.sound, self.over, self.usage = sound, over, usage
+        self.known: dict[str, float] = {}  # soundness of the last forms
 
     def gains(self, units: list[str]) -> np.ndarray:
         """For each unit and chain: log-likelihood less that of sound text."""
@@ -263,8 +266,13 @@ class Model:
 
     def soundness(self, text: str) -> float:
         """Mean log-probability of a text's bigrams as sound text; 0 when all is ASCII."""
-        code, _ = bigrams([text])
-        return float(self.sound[code].mean()) if len(code) else 0.0
+        form = _near(text)
+        if form not in self.known:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            code, _ = bigrams([form])
+            self.known[form] = float(self.sound[code].mean()) if len(code) else 0.0
+        return self.known[form]
 
 
 def _counted(units: list[str], times: np.ndarray) -> np.ndarray:
@@ -367,11 +375,15 @@ def examine(texts: list[str], model: Model) -> list[tuple[str, str | None] | Non
                 units.append(u)
                 owner.append(i)
                 place.append(m.start())
-    gains = model.gains(units)
-    suspect = gains.max(axis=1) >= VERIFIED if len(units) else []
+    forms: dict[str, int] = {}
+    form = np.array([forms.setdefault(_near(u), len(forms)) for u in units], dtype=np.int64)
+    gains = model.gains([*forms])[form]  # a unit has the bigrams of its form, and spans where that has some
+    suspect = gains.max(axis=1) >= VERIFIED if len(units) else np.zeros(0, dtype=bool)
+    odd = np.array([BAD in f or _any_span().search(f) is not None for f in forms], dtype=bool)[form]
     hits: dict[int, list[tuple[int, int, str, str | None]]] = {}
     spans, where = [], []
-    for k, u in enumerate(units):
+    for k in np.flatnonzero(suspect | odd).tolist():
+        u = units[k]
         found = decide(u, gains[k], model) if suspect[k] else None
         if found:
             hits.setdefault(owner[k], []).append((place[k], place[k] + len(u), found[0].name, found[1]))
@@ -503,15 +515,15 @@ def fit(df: DataFrame, key: str, text: str, sample: int | None = None) -> Model:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near, kinds = Counter(), {}
-            for t in b.column(0).to_pylist():
-                for u in UNIT.findall(t):
-                    if not u.isascii():
-                        near[_near(u)] += 1
-                        mask = _mask(u)
-                        kinds[mask] = min(kinds.get(mask, u), u)
-            near = {u: n for u, n in near.items() if _clean(u)}
-            kinds = {m: u for m, u in kinds.items() if _clean(u)}
+            near, kinds, clean = Counter(), {}, {}
+            for u, n in Counter(u for t in b.column(0).to_pylist() for u in UNIT.findall(t) if not u.isascii()).items():
+                near[form := _near(u)] += n
+                if clean.setdefault(form, None) is None:
+                    clean[form] = _clean(form)
+                if clean[form]:
+                    mask = _mask(u)
+                    kinds[mask] = min(kinds.get(mask, u), u)
+            near = {u: n for u, n in near.items() if clean[u]}
             yield pa.RecordBatch.from_arrays([pa.array([*near, *kinds], pa.string()), pa.array([None] * len(near) + [*kinds.values()], pa.string()), pa.array([*near.values()] + [0] * len(kinds), pa.int64())], names=["form", "unit", "n"])
 
     units = map_arrow(some.select("t"), split, "form string, unit string, n bigint").groupBy("form", F.col("unit").isNull().alias("near")).agg(F.min("unit").alias("unit"), F.sum("n").alias("n"))
@@ -546,7 +558,9 @@ def fit(df: DataFrame, key: str, text: str, sample: int | None = None) -> Model:
     def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = b.column(0).to_pylist()
-            keep = _kept(own, before) if before else np.ones(len(own), dtype=bool)
+            forms: dict[str, int] = {}
+            form = np.array([forms.setdefault(_near(u), len(forms)) for u in own], dtype=np.int64)
+            keep = (_kept([*forms], before) if before else np.ones(len(forms), dtype=bool))[form]
             rows = Usage([u for u, k in zip(own, keep, strict=True) if k]).rows()
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["letter", "word", "n"])
 
