@@ -119,6 +119,14 @@ class Chain:
                 return None
         return re.sub("[\x80-\x9f]", "", text) if self.lost else text
 
+    def garble_all(self, texts: list[str]) -> list[str | None]:
+        """``garble`` of each text; where each character is garbled by itself, of all at once."""
+        if all(a == "utf8" and chars_of(b) for a, b in self.steps):
+            out = (self.garble("\0".join(texts)) or "").split("\0")
+            if len(out) == len(texts):
+                return out
+        return [self.garble(t) for t in texts]
+
     def undo(self, text: str) -> str | None:
         """The original, if every step decodes strictly and gives another text."""
         if self.fatal:
@@ -285,7 +293,7 @@ def _counted(units: list[str], times: np.ndarray) -> np.ndarray:
     plain = bigrams(units)
     add(0, plain, times)
     for i, c in enumerate(CHAINS):
-        made = [(k, g) for k, u in enumerate(units) if (g := c.garble(u)) and g != u]
+        made = [(k, g) for k, (u, g) in enumerate(zip(units, c.garble_all(units), strict=True)) if g and g != u]
         at = np.array([k for k, _ in made], dtype=np.int64)
         own = np.zeros(len(units))
         own[at] = times[at]
@@ -376,7 +384,8 @@ def examine(texts: list[str], model: Model) -> list[tuple[str, str | None] | Non
                 owner.append(i)
                 place.append(m.start())
     forms: dict[str, int] = {}
-    form = np.array([forms.setdefault(_near(u), len(forms)) for u in units], dtype=np.int64)
+    of = {u: forms.setdefault(_near(u), len(forms)) for u in dict.fromkeys(units)}
+    form = np.array([of[u] for u in units], dtype=np.int64)
     gains = model.gains([*forms])[form]  # a unit has the bigrams of its form, and spans where that has some
     suspect = gains.max(axis=1) >= VERIFIED if len(units) else np.zeros(0, dtype=bool)
     odd = np.array([BAD in f or _any_span().search(f) is not None for f in forms], dtype=bool)[form]

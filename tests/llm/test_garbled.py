@@ -146,6 +146,7 @@ def test_all_texts_are_learned_from(spark):
 
 def test_units_of_equal_signs_and_neighbours_have_equal_counts(corpus):
     units = [u for t in corpus[0][:300] for u in UNIT.findall(t) if not u.isascii()]
+    assert all(c.garble_all(x) == [c.garble(u) for u in x] for c in CHAINS for x in (units, [*units, "a\0é"], [], [""]))
     for c in [None, *CHAINS]:
         for u in units:
             a, b = (u, _near(u)) if c is None else (c.garble(u), c.garble(_near(u)))
